@@ -82,7 +82,6 @@ def orphans(edges: DataFrame, nodes: DataFrame, files: DataFrame, removals: Data
     e = (
         edges.filter("edge_id IS NOT NULL")
         .select("edge_id", "repo", "source_id", "target_name", "target_file_hint", F.col("seen_at").alias("t"))
-        .dropDuplicates()
         .withColumn("hint", F.when(filled("target_file_hint"), resolved_path(F.col("target_file_hint"))))
     )
     gone = removals.filter("object_key IS NOT NULL AND removed_at IS NOT NULL")
