@@ -37,14 +37,34 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
         return [(base64.b64decode(a), int(b)) for a, b in map(bytes.split, f)]
 
 
+# The same where a text has no number but decimal digits and none of the control characters that Python takes for white space.
+COMMON_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+
+
+def _uncommon() -> str:
+    """A character class of what COMMON_WORDS would take otherwise than WORDS."""
+    import sys
+    import unicodedata
+
+    odd = [c for c in range(0x1C, 0x20)] + [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl", "Cn")]
+    spans, start = [], None
+    for c, following in zip(odd, [*odd[1:], None]):
+        start = c if start is None else start
+        if following != c + 1:
+            spans.append(f"\\U{start:08x}-\\U{c:08x}")
+            start = None
+    return f"[{''.join(spans)}]"
+
+
 def splitter():
     """A function from text to words; joined, the words give the text again."""
     import re
 
     import regex
 
-    plain, full = re.compile(ASCII_WORDS).findall, regex.compile(WORDS).findall
-    return lambda text: plain(text) if text.isascii() else full(text)
+    plain, common, full = re.compile(ASCII_WORDS).findall, re.compile(COMMON_WORDS).findall, regex.compile(WORDS).findall
+    uncommon = re.compile(_uncommon()).search
+    return lambda text: plain(text) if text.isascii() else full(text) if uncommon(text) else common(text)
 
 
 def word_table(texts: DataFrame, text: str, ranks: list[tuple[bytes, int]]) -> DataFrame:
