@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm import mixing, sentences, tokens
+from graphlens.llm import mixing, sentences, tokens, validity
 from graphlens.session import stage, table
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("kind = 'source'")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return validity.check(_sources(spark, d)).filter(F.size("errors") > 0).select("file_path").distinct()
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return validity.rates(validity.check(_sources(spark, d)))
+
+
+def p2_causes(spark: SparkSession, d: str) -> DataFrame:
+    return validity.causes(validity.check(_sources(spark, d)))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -38,7 +54,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_rates, p2_causes, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections import Counter
+from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -56,6 +57,7 @@ def _uncommon() -> str:
     return f"[{''.join(spans)}]"
 
 
+@lru_cache(maxsize=1)
 def splitter():
     """A function from text to words; joined, the words give the text again."""
     import re
