@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm import mixing, sentences, tokens, validity
+from graphlens.llm import docpairs, mixing, sentences, tokens, validity
 from graphlens.session import stage, table
 
 
@@ -25,6 +25,14 @@ def p2_causes(spark: SparkSession, d: str) -> DataFrame:
     return validity.causes(validity.check(_sources(spark, d)))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(table(spark, d, "parsed_nodes"), _sources(spark, d)).select("node_id").distinct()
+
+
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(table(spark, d, "parsed_nodes"), _sources(spark, d)).dropDuplicates(["node_id"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
@@ -54,7 +62,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_rates, p2_causes, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_rates, p2_causes, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict:
