@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm import docpairs, mixing, sentences, tokens, validity
+from graphlens.llm import docpairs, mixing, provenance, sentences, tokens, validity
 from graphlens.session import stage, table
 
 
@@ -13,6 +13,25 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("kind = 'source'")
 
 
+def _not_by_hand(spark: SparkSession, d: str) -> DataFrame:
+    # an attribute file would be a document of that name; where a corpus has none, patterns are mined
+    docs = table(spark, d, "documents")
+    attributes = docs.filter("file_path LIKE '%.gitattributes'").select("file_path", "text")
+    return provenance.classify(_sources(spark, d), table(spark, d, "upstream_files"), attributes)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _not_by_hand(spark, d).select("file_path")
+
+
+def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _not_by_hand(spark, d)
+
+
+def p1_lines(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.lines_by_repository(_not_by_hand(spark, d), table(spark, d, "parsed_files"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return validity.check(_sources(spark, d)).filter(F.size("errors") > 0).select("file_path").distinct()
 
@@ -62,7 +81,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_rates, p2_causes, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p1_lines, p2_found, p2_rates, p2_causes, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict:
