@@ -42,31 +42,28 @@ def read_ranks(path: str) -> list[tuple[bytes, int]]:
 COMMON_WORDS = r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
 
-def _uncommon() -> str:
-    """A character class of what COMMON_WORDS would take otherwise than WORDS."""
-    import sys
-    import unicodedata
-
-    odd = [c for c in range(0x1C, 0x20)] + [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl", "Cn")]
-    spans, start = [], None
-    for c, following in zip(odd, [*odd[1:], None]):
-        start = c if start is None else start
-        if following != c + 1:
-            spans.append(f"\\U{start:08x}-\\U{c:08x}")
-            start = None
-    return f"[{''.join(spans)}]"
-
-
 @lru_cache(maxsize=1)
 def splitter():
     """A function from text to words; joined, the words give the text again."""
     import re
+    import unicodedata
 
     import regex
 
     plain, common, full = re.compile(ASCII_WORDS).findall, re.compile(COMMON_WORDS).findall, regex.compile(WORDS).findall
-    uncommon = re.compile(_uncommon()).search
-    return lambda text: plain(text) if text.isascii() else full(text) if uncommon(text) else common(text)
+    alike: set[str] = set()  # characters that COMMON_WORDS takes as WORDS does
+
+    def split(text: str) -> list[str]:
+        if text.isascii():
+            return plain(text)
+        new = set(text) - alike
+        if new:
+            alike.update(c for c in new if not "\x1c" <= c <= "\x1f" and unicodedata.category(c) not in ("No", "Nl", "Cn"))
+            if not new <= alike:
+                return full(text)
+        return common(text)
+
+    return split
 
 
 def word_table(texts: DataFrame, text: str, ranks: list[tuple[bytes, int]]) -> DataFrame:
