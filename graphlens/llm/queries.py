@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm import docpairs, mixing, provenance, sentences, tokens, validity
+from graphlens.llm import docpairs, language, mixing, provenance, sentences, tokens, validity
 from graphlens.session import stage, table
 
 
@@ -44,6 +44,22 @@ def p2_causes(spark: SparkSession, d: str) -> DataFrame:
     return validity.causes(validity.check(_sources(spark, d)))
 
 
+def _language_model(spark: SparkSession, d: str) -> language.Model:
+    return language.fit(language.sample(table(spark, d, "documents").filter("kind = 'prose'")))
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_comments(table(spark, d, "node_semantics"), _language_model(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).select("node_id", "line", "lang").distinct()
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    return language.shares(_labelled(spark, d), table(spark, d, "parsed_nodes"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(table(spark, d, "parsed_nodes"), _sources(spark, d)).select("node_id").distinct()
 
@@ -81,7 +97,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p1_lines, p2_found, p2_rates, p2_causes, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p1_lines, p2_found, p2_rates, p2_causes, p3_found, p3_shares, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict:
