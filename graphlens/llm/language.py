@@ -9,6 +9,8 @@ each language, which keep all languages present where the sample is small.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -42,29 +44,33 @@ SEEDS = {
     "tr": "ve bir bu için ile de da ne çok daha kadar sonra önce ama ise gibi her olarak değil mı yalnızca eğer",
     "zh": "的 了 是 在 不 和 有 这个 如果 就 之前 以后 必须 我们 已经 或者 其他 任何 因为 所以 什么",
 }
-_URL = regex.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\w+|</?[A-Za-z][^<>]*>|`[^`\n]*`|\{@\w+[^}]*\}")
-_TAG = regex.compile(r"(?m)^[ \t]*(?:[*#/!-]+[ \t]*)?[@:\\](?:param|parameter|arg|argument|property|type|typeparam|template|throws|raises|exception|key|keyword|var|ivar)\b(?:[ \t]+\{[^}\n]*\})?[ \t]+\[?[\w.$]+\]?[ \t]*[-–:]*|(?m)^[ \t]*(?:[*#/!-]+[ \t]*)?[@:\\]\w+\b:?")
-_SECTION = regex.compile(r"(?mi)^[ \t]*(?:args?|arguments?|param(?:eter)?s?|returns?|yields?|raises?|throws?|examples?|attributes?|notes?)[ \t]*:?[ \t]*$|^[ \t]*[-=~*#_]{3,}[ \t]*$")
-_ITEM = regex.compile(r"(?m)^[ \t]+([A-Za-z_]\w*)(?:[ \t]*\([^)\n]*\))?[ \t]*:[ \t]+")
-_MARKER = regex.compile(r"(?m)^[ \t*#/!-]*(?:TODO|FIXME|XXX|HACK|NOTE|NB|BUG|WARNING|SAFETY)\b(?:\([^)\n]*\))?[ \t]*[:\-–]*")
-_DIRECTIVE = regex.compile(r"(?i)^[\W_]*(?:pragma|pylint|noqa|fmt|type|mypy|isort|flake8|eslint[\w-]*|tslint[\w:-]*|@?ts-[\w-]+|prettier[\w-]*|istanbul|jshint|jslint|nosonar|checkstyle|nolint|lint|go|noinspection|clippy|rustfmt|sourcemappingurl|region|endregion|coding|language)(?::|\b(?=[ \t]*(?:[:=]|ignore\b|disable\b|off\b|on\b|skip\b|no cover)))")
-_CODE_WORD = regex.compile(r"[A-Za-z0-9_$]*(?:[A-Za-z0-9]_[A-Za-z0-9]|_[A-Za-z]|[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z])[A-Za-z0-9_$]*(?:\.[A-Za-z_]\w*)*(?:\(\))?|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\([^()\s]*\))?|[A-Za-z_]\w*\(\)")
-_CODE_MARK = regex.compile(r"[{}=;<>|\\]|\(\)|\[\w*\]|::|->|!=|\+\+|\w\(\w")
+_URL = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\w+|</?[A-Za-z][^<>]*>|`[^`\n]*`|\{@\w+[^}]*\}")
+_TAG = re.compile(r"(?m)^[ \t]*(?:[*#/!-]+[ \t]*)?[@:\\](?:param|parameter|arg|argument|property|type|typeparam|template|throws|raises|exception|key|keyword|var|ivar)\b(?:[ \t]+\{[^}\n]*\})?[ \t]+\[?[\w.$]+\]?[ \t]*[-–:]*|^[ \t]*(?:[*#/!-]+[ \t]*)?[@:\\]\w+\b:?")
+_SECTION = re.compile(r"(?mi)^[ \t]*(?:args?|arguments?|param(?:eter)?s?|returns?|yields?|raises?|throws?|examples?|attributes?|notes?)[ \t]*:?[ \t]*$|^[ \t]*[-=~*#_]{3,}[ \t]*$")
+_ITEM = re.compile(r"(?m)^[ \t]+([A-Za-z_]\w*)(?:[ \t]*\([^)\n]*\))?[ \t]*:[ \t]+")
+_MARKER = re.compile(r"(?m)^[ \t*#/!-]*(?:TODO|FIXME|XXX|HACK|NOTE|NB|BUG|WARNING|SAFETY)\b(?:\([^)\n]*\))?[ \t]*[:\-–]*")
+_DIRECTIVE = re.compile(r"(?i)^[\W_]*(?:pragma|pylint|noqa|fmt|type|mypy|isort|flake8|eslint[\w-]*|tslint[\w:-]*|@?ts-[\w-]+|prettier[\w-]*|istanbul|jshint|jslint|nosonar|checkstyle|nolint|lint|go|noinspection|clippy|rustfmt|sourcemappingurl|region|endregion|coding|language)(?::|\b(?=[ \t]*(?:[:=]|ignore\b|disable\b|off\b|on\b|skip\b|no cover)))")
+_CODE_WORD = re.compile(r"(?a)[A-Za-z0-9_$]*(?:[A-Za-z0-9]_[A-Za-z0-9]|_[A-Za-z]|[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z])[A-Za-z0-9_$]*(?:\.[A-Za-z_]\w*)*(?:\(\))?|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\([^()\s]*\))?|[A-Za-z_]\w*\(\)")
+_CODE_MARK = re.compile(r"[{}=;<>|\\]|\(\)|\[\w*\]|::|->|!=|\+\+|\w\(\w")
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+|\p{Thai}+|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])[\p{L}\p{M}])+(?:['’\-](?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])[\p{L}\p{M}])+)*")
-_SENTENCE = regex.compile(r"(?<=[.!?।؟])\s+|(?<=[。！？])|\n\s*\n|\n(?=[ \t]*[@:])")
+_ASCII_WORD = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?।؟])\s+|(?<=[。！？])|\n\s*\n|\n(?=[ \t]*[@:])")
 _HUMPS = regex.compile(r"\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\d+")
 _ARTICLES = frozenset(("the", "a", "an", "this"))
 
 
 def prose(text: str) -> str:
     """What is left of a comment without addresses, markup, tags, markers, directives and names of the code."""
-    t = _URL.sub(" ", text)
-    t = _TAG.sub(" ", t)
-    t = _SECTION.sub(" ", t)
-    t = _ITEM.sub(" ", t)
-    t = _MARKER.sub(" ", t)
-    t = _DIRECTIVE.sub(" ", t)
-    return _CODE_WORD.sub(" ", t)
+    t = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    if "://" in t or "@" in t or "<" in t or "`" in t or "www." in t:
+        t = _URL.sub(" ", t)
+    if "@" in t or ":" in t or "\\" in t:
+        t = _TAG.sub(" ", t)
+        t = _DIRECTIVE.sub(" ", t)
+    if "\n" in t:
+        t = _SECTION.sub(" ", t)
+        t = _ITEM.sub(" ", t)
+    return _CODE_WORD.sub(" ", _MARKER.sub(" ", t))
 
 
 def sizes(words: list[str]) -> tuple[int, int, int]:
@@ -72,36 +78,48 @@ def sizes(words: list[str]) -> tuple[int, int, int]:
     plain = wide = thai = 0
     for w in words:
         c = w[0]
-        if "฀" <= c <= "๿":
+        if c < "\u0e00":
+            plain += 1
+        elif c <= "\u0e7f":
             thai += len(w)
-        elif regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]", c):
+        elif "\u3005" <= c <= "\u9fff" and not "\u3130" <= c <= "\u318f" or "\uf900" <= c <= "\ufaff" or "\uff66" <= c <= "\uff9f" or c >= "\U00020000":
             wide += len(w)
         else:
             plain += 1
     return plain, wide, thai
 
 
+def read(text: str) -> list[list[str]]:
+    """Words of each sentence of a comment; [] unless it holds human language."""
+    t = prose(text)
+    sentences = [w for w in (_words(part) for part in _SENTENCE.split(t) if part) if w]
+    plain, wide, thai = sizes([w for s in sentences for w in s])
+    if plain < LEAST_WORDS and wide < LEAST_IDEOGRAPHS and thai < LEAST_THAI:
+        return []
+    marks = len(_CODE_MARK.findall(text))
+    if marks * 3 > plain + wide // 3 + thai // 6:
+        return []
+    return sentences
+
+
+def _words(text: str) -> list[str]:
+    return _ASCII_WORD.findall(text) if text.isascii() else _WORD.findall(text)
+
+
+def only_name(sentences: list[list[str]], name: str) -> bool:
+    """Whether words are those of a node's name, alone or with an article."""
+    words = {w.lower() for s in sentences for w in s} - _ARTICLES
+    return len(words) < 12 and words <= {h.lower() for h in _HUMPS.findall(name)} | set(name.lower().split("_")) | {name.lower()}
+
+
 def is_text(text: str | None, name: str = "") -> bool:
     """Whether a comment holds human language: five words, or a sentence in a script without spaces.
 
     Code does not count, nor does the name of the node, alone, in words or
     with an article. Null and '' hold none.
     """
-    if not text:
-        return False
-    t = prose(text)
-    words = _WORD.findall(t)
-    plain, wide, thai = sizes(words)
-    if plain < LEAST_WORDS and wide < LEAST_IDEOGRAPHS and thai < LEAST_THAI:
-        return False
-    marks = len(_CODE_MARK.findall(text))
-    if marks * 3 > plain + wide // 3 + thai // 6:
-        return False
-    if name:
-        own = {h.lower() for h in _HUMPS.findall(name)} | set(name.lower().split("_")) | {name.lower()}
-        if all(w.lower() in own or w.lower() in _ARTICLES for w in words):
-            return False
-    return True
+    sentences = read(text) if text else []
+    return bool(sentences) and not (name and only_name(sentences, name))
 
 
 def buckets(word: str) -> list[int]:
@@ -117,7 +135,7 @@ class Model:
     MEMO = 200_000
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.known = weights, {}
+        self.weights, self.known, self.texts = weights, {}, {}
 
     def scores(self, word: str) -> np.ndarray:
         s = self.known.get(word)
@@ -133,19 +151,24 @@ class Model:
             return ""
         return LANGUAGES[int(sum(self.scores(w) for w in words).argmax())]
 
-    def spans(self, text: str) -> dict[str, int]:
+    def spans(self, sentences: list[list[str]]) -> dict[str, int]:
         """Letters by language, each sentence labelled by itself."""
         out: dict[str, int] = {}
-        for part in _SENTENCE.split(prose(text)):
-            words = _WORD.findall(part or "")
-            if words:
-                lang = self.label(words)
-                out[lang] = out.get(lang, 0) + sum(len(w) * (3 if "぀" <= w[0] <= "鿿" else 1) for w in words)
+        for words in sentences:
+            lang = self.label(words)
+            out[lang] = out.get(lang, 0) + sum(len(w) * (3 if "\u3005" <= w[0] <= "\u9fff" else 1) for w in words)
         return out
 
-    def main(self, text: str) -> str:
-        spans = self.spans(text)
-        return max(sorted(spans), key=lambda k: spans[k]) if spans else ""
+    def main(self, text: str) -> tuple[str, int]:
+        """(language that most of a comment is in, its letters); ('', 0) if it holds no human language. Ties: the first in order."""
+        got = self.texts.get(text)
+        if got is None:
+            spans = self.spans(read(text))
+            best = max(sorted(spans), key=lambda k: spans[k]) if spans else ""
+            got = (best, spans.get(best, 0))
+            if len(self.texts) < self.MEMO and len(text) < 200:
+                self.texts[text] = got
+        return got
 
 
 def fit(rows: list[tuple[str, str]], rounds: int = 25, rate: float = 0.6, decay: float = 1e-4) -> Model:
@@ -157,7 +180,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 25, rate: float = 0.6, decay:
     for text, lang in rows:
         if lang in LANGUAGES:
             for part in _SENTENCE.split(prose(text[:SAMPLE_CHARS]))[:6]:
-                words = _WORD.findall(part or "")
+                words = _words(part or "")
                 if words:
                     examples.append(([b for x in words[:40] for b in buckets(x)][:600], LANGUAGES.index(lang), False))
     weights = _descend(examples, rounds, rate, decay)
@@ -219,12 +242,11 @@ def label_comments(semantics: DataFrame, model: Model) -> DataFrame:
                 parts = node.split("::")
                 name = parts[-2] if len(parts) > 2 else ""
                 for line, text in [(0, doc), *zip(lines or (), texts or ())]:
-                    if line is None or not is_text(text, name):
+                    if line is None or not text:
                         continue
-                    spans = m.spans(text)
-                    if spans:
-                        best = max(sorted(spans), key=lambda k: spans[k])
-                        for column, x in zip(out, (node, line, best, spans[best])):
+                    best, letters = m.main(text)
+                    if best and not (name and len(text) < 120 and only_name(read(text), name)):
+                        for column, x in zip(out, (node, line, best, letters)):
                             column.append(x)
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["node_id", "line", "lang", "letters"])
