@@ -263,3 +263,21 @@ def shares(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
     where = nodes.filter("node_id IS NOT NULL").groupBy("node_id").agg(F.max_by("file_path", F.struct("row_seq", "file_path")).alias("file_path"))
     by = labelled.join(where, "node_id").groupBy("file_path", "lang").agg(F.sum("letters").alias("letters"))
     return by.withColumn("share", F.col("letters") / F.sum("letters").over(Window.partitionBy("file_path")))
+
+
+def label_texts(spans: DataFrame, model: Model, keep: tuple[str, ...], text: str = "text") -> DataFrame:
+    """``keep`` columns with lang and letters of each text that holds human language; others are left out."""
+    import pyarrow as pa
+
+    shared = spans.sparkSession.sparkContext.broadcast(model.weights)
+
+    def label(batches):
+        m = Model(shared.value)
+        for batch in batches:
+            got = [m.main(t) if t else ("", 0) for t in batch.column(0).to_pylist()]
+            chosen = [k for k, g in enumerate(got) if g[0]]
+            kept = [c.take(pa.array(chosen, pa.int64())) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([got[k][0] for k in chosen], pa.string()), pa.array([got[k][1] for k in chosen], pa.int64())], names=[*batch.schema.names[1:], "lang", "letters"])
+
+    fields = [f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in keep]
+    return spans.select(F.col(text).alias("_text"), *keep).mapInArrow(label, ", ".join([*fields, "lang string", "letters long"]))

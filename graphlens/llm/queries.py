@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlens.llm import docpairs, language, mixing, provenance, sentences, tokens, validity
+from graphlens.llm import chunklex, docpairs, language, mixing, provenance, sentences, tokens, validity
 from graphlens.session import stage, table
 
 
@@ -60,6 +60,15 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return language.shares(_labelled(spark, d), table(spark, d, "parsed_nodes"))
 
 
+def p3_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """(file_path, kind, lang, letters, share_of_file): human language in the comments and strings of source files."""
+    files = _sources(spark, d)
+    found = language.label_texts(chunklex.texts(files), _language_model(spark, d), ("file_path", "kind"))
+    by = found.groupBy("file_path", "kind", "lang").agg(F.sum("letters").alias("letters"))
+    sizes = files.filter("file_path IS NOT NULL").groupBy("file_path").agg(F.max(F.length("text")).alias("size"))
+    return by.join(sizes, "file_path").select("file_path", "kind", "lang", "letters", (F.col("letters") / F.col("size")).alias("share_of_file"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.pairs(table(spark, d, "parsed_nodes"), _sources(spark, d)).select("node_id").distinct()
 
@@ -97,7 +106,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p1_lines, p2_found, p2_rates, p2_causes, p3_found, p3_shares, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p1_lines, p2_found, p2_rates, p2_causes, p3_found, p3_shares, p3_hidden, p7_found, p7_pairs, p8_ids, p8_roundtrip, p9_sample, p9_shares, p10_found)}
 
 
 def oracle_sql() -> dict:
