@@ -79,7 +79,11 @@ def replay(log: DataFrame) -> dict[str, DataFrame]:
     path = F.get_json_object("payload", "$.file_path")
     upserts = rows.filter("rtype = 'NODE_UPSERT'").select("key", path.alias("file_path"), "seq")
     by_file = file_deletes(upserts, rows.filter("rtype = 'FILE_DELETE'").select(F.col("key").alias("file_path"), "seq"))
-    deletes = rows.filter("rtype = 'NODE_DELETE'").select("key", "seq").unionByName(by_file)
+    asked = rows.filter("rtype = 'NODE_DELETE'").select("key", "seq").unionByName(by_file)
+    # a delete takes effect only on a node that is there: the row before it, of the same key, must be an upsert
+    both = upserts.select("key", "seq", F.lit(True).alias("up")).unionByName(asked.withColumn("up", F.lit(False)))
+    was_up = F.lag("up").over(Window.partitionBy("key").orderBy("seq", F.desc("up")))
+    deletes = both.withColumn("was_up", was_up).filter("NOT up AND was_up").select("key", "seq")
     effective = deletes.withColumn("rtype", F.lit("NODE_DELETE")).withColumn("payload", F.lit(None).cast("string"))
     nodes = current(rows.filter("rtype IN ('NODE_UPSERT', 'CLEAR')").select("rtype", "key", "seq", "payload").unionByName(effective.select("rtype", "key", "seq", "payload")), "NODE_UPSERT", "NODE_DELETE")
     cleared = rows.filter("rtype = 'CLEAR'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("s")).first().s

@@ -180,18 +180,6 @@ def lease_staleness(spark, d):
     return _events(spark, d).select("event_id", scalar.stale_lease(text, F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("stale"))
 
 
-@query()
-def debounce_batch(spark, d):
-    """The debounced times of each (user, event): the stateful rule over a batch, by groups of bounded spans."""
-    import pandas as pd
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, _ = pipelines.debounced_times(sorted(t.timestamp() for t in pdf["ts"]), None, 3600.0)
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[:1].repeat(len(kept)).tolist(), "event_type": pdf["event_type"].iloc[:1].repeat(len(kept)).tolist(), "ts": pipelines.moments(kept, True)})
-
-    return _events(spark, d).select("user_id", "event_type", "ts", F.to_date("ts").alias("day")).groupBy("user_id", "event_type", "day").applyInPandas(step, "user_id long, event_type string, ts timestamp")
-
-
 # documents: search, hashes, parsing, linking
 @query()
 def bm25_topk(spark, d):
