@@ -170,7 +170,7 @@ def _abbreviation(token: str, doc: dict[str, list[int]], corpus: dict[str, bool]
     if len(token) == 1 and token.isalpha():
         return "may" if own[2] or corpus.get(w) is True else "never"
     if own[0] and not own[3]:
-        return "may" if own[2] or corpus.get(w, True) else "never"
+        return "may" if own[2] or corpus.get(w, False) else "never"
     if w in corpus:
         return "may" if corpus[w] or own[2] else "never"
     return ""

@@ -6,7 +6,8 @@
 from __future__ import annotations
 
 from graphlens.llm.syntax import go, java, javascript, python, rust
-from graphlens.llm.syntax.lexing import LANGUAGES, line_of, shapes, strip
+from graphlens.llm.syntax.braces import Fault
+from graphlens.llm.syntax.lexing import LANGUAGES, line_of, shapes
 
 _CLASSES = {"go": go.Go, "java": java.Java, "rust": rust.Rust}
 
@@ -51,14 +52,16 @@ def errors(text: str, extension: str) -> list[tuple[int, str]]:
         parser.program()
         shaped = parser.errors
         for part in inner:
-            code, bad, deeper = strip(part, lang)
+            lines, bad, deeper = shapes(part, lang)
             inner.extend(deeper)
-            sub = javascript.JavaScript(shapes(code, lang)[0], flags | javascript.ASYNC)
+            if bad:
+                found.append((1, f"in a template: {bad[0][1]}"))
+            sub = javascript.JavaScript(lines, flags | javascript.ASYNC)
             try:
                 sub.expression()
                 if sub.t[sub.i] != "<end>":
                     sub.fail()
-            except javascript.Parser.__mro__[0].fail.__globals__["Fault"] as e:
+            except Fault as e:
                 found.append((1, f"in a template: {e}"))
     elif lang == "go":
         parser = go.Go(lines)

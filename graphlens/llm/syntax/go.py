@@ -349,6 +349,8 @@ class Go(Parser):
         if self.t[self.i] == "{":
             self.fail("missing condition")
         self.header()
+        if self.t[self.i - 1] == ";":
+            self.fail("missing condition")
         self.block()
         if self.take("else"):
             if self.t[self.i] == "if":

@@ -13,7 +13,7 @@ ANY = WORDS | {NAME}
 _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7, "===": 7, "!==": 7, "<": 8, ">": 8, "<=": 8, ">=": 8, "instanceof": 8, "in": 8, "as": 8, "satisfies": 8, "<<": 9, "+": 10, "-": 10, "*": 11, "/": 11, "%": 11, "**": 12}
 _ASSIGN = frozenset(("=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**=", "<<=", ">>>=", "&&=", "||=", "??="))
 _MODIFIERS = frozenset("public private protected static readonly abstract declare override accessor async get set".split())
-FUNC, LOOP, SWITCH, ASYNC, GEN, TYPED, JSX = 1, 2, 4, 8, 16, 32, 64
+FUNC, LOOP, SWITCH, ASYNC, GEN, TYPED, JSX, AMBIENT = 1, 2, 4, 8, 16, 32, 64, 128
 
 
 class JavaScript(Parser):
@@ -122,7 +122,7 @@ class JavaScript(Parser):
             self.end()
 
     def declared(self) -> bool:
-        return False
+        return bool(self.ctx & AMBIENT)
 
     def binding(self) -> None:
         if self.take("["):
@@ -599,20 +599,12 @@ class JavaScript(Parser):
 
     def declare(self) -> None:
         self.i += 1
-        t = self.t[self.i]
-        if t in ("const", "let", "var") and self.t[self.i + 1] != "enum":
-            self.i += 1
-            while True:
-                self.binding()
-                if self.take(":"):
-                    self.type()
-                if self.take("="):
-                    self.assignment()
-                if not self.take(","):
-                    break
-            self.end()
-        else:
+        keep = self.ctx
+        self.ctx |= AMBIENT
+        try:
             self.statement()
+        finally:
+            self.ctx = keep
 
     # types
     def return_type(self) -> None:

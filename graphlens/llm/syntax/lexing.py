@@ -16,7 +16,7 @@ _STRING = r"\"(?:[^\"\\\r\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[\s\
 _PY_PREFIX = r"(?:(?<![\w])(?:[rR][bBfFtT]?|[bB][rR]?|[uU]|[fFtT][rR]?))?"
 _SCANS = {
     "python": rf"(?P<c>\#[^\r\n]*)|(?P<j>\\\r?\n)|(?P<s>{_PY_PREFIX}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|(?!\"\"\"|''')(?:{_STRING})))|(?P<x>[\"'])",
-    "javascript": rf"(?P<c>//[^\r\n]*|/\*[\s\S]*?\*/)|(?P<s>{_STRING})|(?P<t>`)|(?P<r>(?:(?<=[=(,:;!&|?{{}}\[+\-*%~^<>\r\n])|(?<=return)|(?<=typeof)|(?<=case)|(?<=^))[ \t]*/(?![*/])(?:[^/\\\r\n\[]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*)|(?P<x>[\"']|/\*)",
+    "javascript": rf"(?P<c>//[^\r\n]*|/\*[\s\S]*?\*/)|(?P<s>{_STRING})|(?P<t>`)|(?P<r>(?:(?<=[=(,:;!&|?{{\[+\-*%~^\r\n])|(?<=return)|(?<=typeof)|(?<=case)|(?<=^))[ \t]*/(?![*/])(?:[^/\\\r\n\[]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[a-z]*)|(?P<x>[\"']|/\*)",
     "java": rf"(?P<c>//[^\r\n]*|/\*[\s\S]*?\*/)|(?P<s>\"\"\"[ \t]*\r?\n(?:[^\\]|\\[\s\S])*?\"\"\"|(?!\"\"\"[ \t]*\r?\n)\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\(?:u+[0-9a-fA-F]{{4}}|[0-7]{{1,3}}|.))')|(?P<x>[\"']|/\*)",
     "go": r"(?P<c>//[^\r\n]*|/\*[\s\S]*?\*/)|(?P<s>\"(?:[^\"\\\r\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\r\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.))')|(?P<x>[\"'`]|/\*)",
     "rust": r"(?P<c>//[^\r\n]*)|(?P<n>/\*)|(?P<s>(?:(?<!\w)b?r(?P<h>\#*)\"[\s\S]*?\"(?P=h)(?!\#))|(?:(?<!\w)[bc])?\"(?:[^\"\\]|\\[\s\S])*\"|(?:(?<!\w)b)?'(?:[^'\\\r\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))')|(?P<l>'(?:[^\W\d]\w*))|(?P<x>[\"'])",

@@ -21,7 +21,7 @@ class Line:
     """One logical line. ``kind`` says what it is; ``target`` tells assignable expressions from others."""
 
     def __init__(self, tokens: list[str]):
-        self.t, self.i, self.needs = [*tokens, END], 0, set()
+        self.t, self.i, self.needs = [*tokens, END, END, END], 0, set()
 
     def fail(self, what: str = ""):
         raise Fault(what or f"unexpected {self.t[self.i]}")
@@ -589,7 +589,7 @@ class Line:
                 self.named()
                 if self.t[self.i] in ("for", "async"):
                     self.comprehension()
-                    if count or self.t[self.i] not in (")", ","):
+                    if count or self.t[self.i] not in (")", ",") or self.t[self.i] == "," and self.t[self.i + 1] != ")":
                         self.fail("generator expression must be parenthesized")
                 elif keyword:
                     self.fail("positional argument follows keyword argument")
