@@ -178,14 +178,37 @@ def _encoded(df: DataFrame, text: str, keep: tuple[str, ...], folder: str, vocab
 def decode(encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), folder: str = FOLDER, vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """``keep`` columns and text: the text that the ids stand for; '' for no ids.
 
-    Ids are joined with the table of pieces by position. The vocabulary is a
-    file of fixed size, so its table may be broadcast. An id that is no piece
-    makes the text null.
+    The ids are joined with the table of pieces by position: the table is a
+    file of fixed size, so every worker holds it, and a batch's ids take their
+    pieces in one step, in order, so no row is unfolded or moved. An id that is
+    no piece, or null, makes the text null; bytes that are no UTF-8 are
+    replaced.
     """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     spark = encoded.sparkSession
-    pieces = spark.createDataFrame([(r, b) for b, r in read_ranks(f"{folder}/{vocabulary}.tiktoken")], "id int, piece binary")
-    rows = stage(encoded.select(*keep, F.col(ids).alias("_ids")).withColumn("_row", F.monotonically_increasing_id()), "to-decode")
-    at = rows.select("_row", F.posexplode("_ids").alias("_at", "id")).join(F.broadcast(pieces), "id", "left")
-    whole = at.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "piece"))).alias("p"))
-    text = F.when(F.exists("p", lambda x: x.piece.isNull()), None).otherwise(F.decode(F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x.piece)), "")), "UTF-8"))
-    return rows.join(whole, "_row", "left").select(*keep, F.when(F.col("p").isNull(), "").otherwise(text).alias("text"))
+    shared = spark.sparkContext.broadcast(read_ranks(f"{folder}/{vocabulary}.tiktoken"))
+
+    def joined(batches):
+        import numpy as np
+
+        table: list = [None] * (max(r for _, r in shared.value) + 1)
+        for piece, rank in shared.value:
+            table[rank] = piece
+        pieces = pa.array(table, pa.large_binary())
+        for batch in batches:
+            lists = batch.column(0)
+            at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            flat = lists.flatten()
+            known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(pieces))), False)
+            taken = pieces.take(pc.if_else(known, flat, None))
+            lost = np.concatenate(([0], np.cumsum(pc.is_null(taken).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            sizes = pc.fill_null(pc.binary_length(taken), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+            data = b"".join(x for x in taken.to_pylist() if x) if len(taken) else b""
+            texts = [None if lost[j] > lost[i] else data[ends[i] : ends[j]].decode("utf-8", "replace") for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "text"])
+
+    fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep]
+    return encoded.select(F.col(ids).alias("_ids"), *keep).mapInArrow(joined, ", ".join([*fields, "text string"]))

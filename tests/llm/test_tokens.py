@@ -36,6 +36,8 @@ def test_encode(docs, reference, frequent, monkeypatch):
 def test_decode_and_empty(docs):
     back = {r.doc_id: r.text for r in tokens.decode(tokens.encode(docs)).collect()}
     assert back == {i: t or "" for i, t in TEXTS}
+    odd = docs.sparkSession.createDataFrame([(1, [999999]), (2, [-1, 5]), (3, None), (4, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode(odd).collect()} == {1: None, 2: None, 3: "", 4: ""}
     assert tokens.encode(docs.limit(0)).count() == 0
 
 
