@@ -251,5 +251,8 @@ def run(graph: Graph, text: str, max_results: int = 10_000) -> Result:
     for more in all_edges:
         edges = edges.unionByName(more)
     edges = edges.distinct()
-    counts = found.agg(F.count("*").alias("matched_nodes")).crossJoin(edges.agg(F.count("*").alias("matched_edges"))).crossJoin(current.agg(F.count("*").alias("terminal_nodes"))).withColumn("hops", F.lit(len(path.hops)))
+    one = lambda df, k: df.select(F.lit(k).alias("k"))
+    count = lambda k: F.sum((F.col("k") == k).cast("bigint"))
+    rows = one(found, 0).unionByName(one(edges, 1)).unionByName(one(current, 2))
+    counts = rows.agg(*[F.coalesce(count(k), F.lit(0)).alias(name) for k, name in enumerate(("matched_nodes", "matched_edges", "terminal_nodes"))]).withColumn("hops", F.lit(len(path.hops)))
     return Result(found, edges, counts)
