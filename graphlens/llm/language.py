@@ -50,7 +50,7 @@ _SECTION = re.compile(r"(?mi)^[ \t]*(?:args?|arguments?|param(?:eter)?s?|returns
 _ITEM = re.compile(r"(?m)^[ \t]+([A-Za-z_]\w*)(?:[ \t]*\([^)\n]*\))?[ \t]*:[ \t]+")
 _MARKER = re.compile(r"(?m)^[ \t*#/!-]*(?:TODO|FIXME|XXX|HACK|NOTE|NB|BUG|WARNING|SAFETY)\b(?:\([^)\n]*\))?[ \t]*[:\-–]*")
 _DIRECTIVE = re.compile(r"(?i)^[\W_]*(?:pragma|pylint|noqa|fmt|type|mypy|isort|flake8|eslint[\w-]*|tslint[\w:-]*|@?ts-[\w-]+|prettier[\w-]*|istanbul|jshint|jslint|nosonar|checkstyle|nolint|lint|go|noinspection|clippy|rustfmt|sourcemappingurl|region|endregion|coding|language)(?::|\b(?=[ \t]*(?:[:=]|ignore\b|disable\b|off\b|on\b|skip\b|no cover)))")
-_CODE_WORD = re.compile(r"(?a)[A-Za-z0-9_$]*(?:[A-Za-z0-9]_[A-Za-z0-9]|_[A-Za-z]|[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z])[A-Za-z0-9_$]*(?:\.[A-Za-z_]\w*)*(?:\(\))?|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\([^()\s]*\))?|[A-Za-z_]\w*\(\)")
+_CODE_WORD = re.compile(r"(?a)(?<![A-Za-z0-9_$])(?:[A-Za-z0-9_$]*(?:[A-Za-z0-9]_[A-Za-z0-9]|_[A-Za-z]|[a-z][A-Z]|[A-Za-z]\d|\d[A-Za-z])[A-Za-z0-9_$]*(?:\.[A-Za-z_]\w*)*(?:\(\))?|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\([^()\s]*\))?|[A-Za-z_]\w*\(\))")
 _CODE_MARK = re.compile(r"[{}=;<>|\\]|\(\)|\[\w*\]|::|->|!=|\+\+|\w\(\w")
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+|\p{Thai}+|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])[\p{L}\p{M}])+(?:['’\-](?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}])[\p{L}\p{M}])+)*")
 _ASCII_WORD = re.compile(r"[A-Za-z]+(?:['-][A-Za-z]+)*")

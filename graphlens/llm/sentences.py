@@ -35,7 +35,7 @@ _BRACKETS = frozenset("([{（［【")
 _MARKS = re.compile(r'["()\[\]{}（）［］【】「」『』《》〈〉“”„«»‹›]')
 _STOP_RUN = re.compile(f"[{re.escape(STOPS)}]+")
 _TOKEN = re.compile(r"""[^\s"“”„«»‹›()\[\]{}（）,;:!?。，、/]+$""")
-_NEXT = re.compile(r"\s*(\S*)")
+_NEXT = re.compile(r"\s*(\S{0,60})")
 _HEADING = re.compile(r"[ \t]{0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 _BULLET = re.compile(r"[ \t]*(?:[-*+•‣◦–—·]|\[[ xX]\])[ \t]+(?:\[[ xX]\][ \t]+)?")
 _NUMBER = re.compile(r"[ \t]*(?:\d{1,3}[.)]|[A-Za-z]\))[ \t]+")
@@ -139,14 +139,14 @@ def evidence(text: str) -> dict[str, list[int]]:
             w = _token(text, a, m.start()).lower()
             if not w or w.isdigit():
                 continue
-            rest = text[m.end() : b]
-            if rest[:1] and not rest[0].isspace() and rest[0] not in ",;:":
+            rest = text[m.end()] if m.end() < b else ""
+            if rest and not rest.isspace() and rest not in ",;:":
                 continue
-            nxt = _NEXT.match(rest).group(1)
+            nxt = _NEXT.match(text, m.end(), b).group(1)
             s = seen.setdefault(w, [0, 0, 0, 0])
             if not nxt:
                 s[2] += 1
-            elif rest[0] in ",;:" or nxt[0].isdigit() or not _begins_sentence(nxt):
+            elif rest in ",;:" or nxt[0].isdigit() or not _begins_sentence(nxt):
                 s[0] += 1
             elif not quoted:
                 s[1] += 1
