@@ -129,24 +129,19 @@ def _encoded(df: DataFrame, text: str, keep: tuple[str, ...], folder: str, vocab
             flat, ends, rares = array("i"), [0], []
             for t in batch.column(0).to_pylist():
                 found = find(t) if t else []
-                rare = None
-                try:
-                    parts = list(map(known.__getitem__, found))
-                except KeyError:
-                    rare, slots = [], {}
-                    parts = []
-                    for w in found:
-                        p = known.get(w)
-                        if p is None:
-                            if only_count:
+                parts, rare = list(map(known.get, found)), None
+                if None in parts:
+                    rare, slots, k = [], {}, parts.index(None)
+                    for k in [k, *(n for n in range(k + 1, len(parts)) if parts[n] is None)]:
+                        w = found[k]
+                        if only_count:
+                            rare.append(w)
+                            parts[k] = 0
+                        else:
+                            if w not in slots:
+                                slots[w] = len(rare)
                                 rare.append(w)
-                                p = 0
-                            else:
-                                if w not in slots:
-                                    slots[w] = len(rare)
-                                    rare.append(w)
-                                p = (-1 - slots[w],)
-                        parts.append(p)
+                            parts[k] = (-1 - slots[w],)
                 if only_count:
                     flat.append(sum(parts))
                 else:
