@@ -28,10 +28,12 @@ def committed(log: DataFrame, span: int = 1_000_000) -> DataFrame:
     summary = control.groupBy("_part").agg(F.min_by("rtype", "seq").alias("first"), F.max_by("rtype", "seq").alias("last"))
     every = rows.select("_part").distinct().join(summary, "_part", "left")
     order = Window.orderBy("_part")  # one row per span
-    carried = every.select("_part", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("behind"))
+    carried = every.select("_part", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.last("first", True).over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("behind"))
     inside = Window.partitionBy("_part").orderBy("seq")
+    # what follows is what came last in the reversed order: a frame that only grows takes one pass
+    backwards = Window.partitionBy("_part").orderBy(F.desc("seq"))
     mark = F.when(F.col("rtype").isin(*CONTROL), F.col("rtype"))
-    seen = rows.withColumn("_last", F.last(mark, True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.first(mark, True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+    seen = rows.withColumn("_last", F.last(mark, True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.last(mark, True).over(backwards.rowsBetween(Window.unboundedPreceding, -1)))
     joined = seen.join(carried, "_part")
     last, nxt = F.coalesce("_last", "before"), F.coalesce("_next", "behind")
     keep = ~F.col("rtype").isin(*CONTROL) & (F.coalesce(last != "BEGIN", F.lit(True)) | (nxt == "COMMIT"))
