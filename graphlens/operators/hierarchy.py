@@ -165,7 +165,43 @@ def descendants(resolved: DataFrame) -> DataFrame:
 
     ``resolved`` needs paths. The rows are the result itself, one per node and
     ancestor, and are made without a join by unfolding each path. Nodes in or
-    below loops have no path and give no rows.
+    below loops have no path and give no rows here: ``loop_descendants`` has
+    them.
     """
     steps = resolved.filter("depth > 0").select(F.col("node_id").alias("descendant_id"), "depth", F.posexplode("path").alias("at", "node_id"))
     return steps.filter(F.col("at") < F.col("depth")).select("node_id", "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def loops(nodes: DataFrame, resolved: DataFrame, key: str = "node_id", parent: str = "parent_id", version: str = "row_seq") -> DataFrame:
+    """(node_id, loop_id, in_loop, path, ring, at) of every node in or below a loop.
+
+    ``resolved`` is what ``resolve`` gives for ``nodes``. ``ring`` holds the
+    nodes of the loop in the direction of the children, from the smallest id
+    (``loop_id``) on; ``path`` runs from the loop node the node hangs from,
+    which is at place ``at`` of the ring, to the node; a loop node is its own
+    path. Each loop is opened at its smallest id, so what is left are trees
+    and one more walk solves them.
+    """
+    stuck = resolved.filter("depth = -1").select(F.col("node_id").alias("node"), F.col("root_id").alias("loop_id"))
+    cut = stage(stuck.join(current_parents(nodes, key, parent, version), "node"), "cut")
+    trees = cut.select(F.col("node").alias("node_id"), F.when(F.col("node") != F.col("loop_id"), F.col("parent")).alias("parent_id"), F.lit(0).alias("row_seq"))
+    walked = stage(resolve(trees, paths=True).select("node_id", F.col("root_id").alias("loop_id"), "path"), "opened")
+    # the parent of the smallest id is the last node of the loop: its path is the loop
+    last = cut.filter("node = loop_id").select(F.col("parent").alias("node_id"))
+    rings = stage(walked.join(last, "node_id", "left_semi").select("loop_id", F.col("path").alias("ring")), "rings")
+    both = join_unique(walked, rings, "loop_id").withColumn("k", F.size(F.array_intersect("path", "ring")))
+    return both.select("node_id", "loop_id", (F.col("k") == F.size("path")).alias("in_loop"), F.slice("path", F.col("k"), F.size("path")).alias("path"), "ring", (F.col("k") - 1).alias("at"))
+
+
+def loop_descendants(looped: DataFrame) -> DataFrame:
+    """(node_id, descendant_id, distance) of the nodes in and below loops, from ``loops``.
+
+    A loop node has below it the other nodes of its loop and all that hangs
+    from any of them. ``distance`` is the least number of steps; no node is
+    its own descendant.
+    """
+    size = F.size("path")
+    tail = looped.select(F.col("node_id").alias("descendant_id"), size.alias("size"), F.posexplode("path").alias("i", "node_id"))
+    below = tail.filter("i > 0 AND i < size - 1").select("node_id", "descendant_id", (F.col("size") - 1 - F.col("i")).alias("distance"))
+    around = looped.select(F.col("node_id").alias("descendant_id"), size.alias("size"), "at", F.size("ring").alias("round"), F.posexplode("ring").alias("i", "node_id"))
+    return below.unionByName(around.filter("node_id != descendant_id").select("node_id", "descendant_id", (F.pmod(F.col("at") - F.col("i"), F.col("round")) + F.col("size") - 1).alias("distance")))

@@ -34,6 +34,29 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(stage(hierarchy.resolve(table(spark, d, "parsed_nodes"), paths=True), "paths"))
 
 
+def _looped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes = table(spark, d, "parsed_nodes")
+    resolved = stage(hierarchy.resolve(nodes, paths=True), "paths")
+    return resolved, stage(hierarchy.loops(nodes, resolved), "looped")
+
+
+def p5_loops(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, loop_id, in_loop): the nodes of every loop, and those that hang below one."""
+    return _looped(spark, d)[1].select("node_id", "loop_id", "in_loop")
+
+
+def p5_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, path) of every node: from its root, or from the loop node it hangs from."""
+    resolved, looped = _looped(spark, d)
+    return resolved.filter("depth >= 0").select("node_id", "path").unionByName(looped.select("node_id", "path")).select("node_id", F.array_join("path", " > ").alias("path"))
+
+
+def p5_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """(node_id, descendant_id, distance) of every node, also of those in and below loops."""
+    resolved, looped = _looped(spark, d)
+    return hierarchy.descendants(resolved).unionByName(hierarchy.loop_descendants(looped))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     runs = incremental.successful_runs(table(spark, d, "scan_runs"))
     store = incremental.StateStore(spark, scratch(spark, "scan-state"))
@@ -41,7 +64,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_paths, p5_descendants, p6_found)}
+    return {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_paths, p5_descendants, p5_loops, p5_all_paths, p5_all_descendants, p6_found)}
 
 
 _NORMAL = "list_aggregate(list_reduce(list_prepend(['']::varchar[], list_transform(list_filter(string_split(replace({0}, '\\', '/'), '/'), lambda x: x not in ('', '.')), lambda x: [x])), lambda acc, x: case when x[1] = '..' then acc[:-2] else list_concat(acc, x) end)[2:], 'string_agg', '/')"

@@ -59,6 +59,28 @@ def test_hierarchy_chain_loop_and_dirt(spark):
     assert hierarchy.resolve(nodes(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_descendants_in_and_below_loops(spark, seed):
+    r = random.Random(seed)
+    names = [f"n{k:02}" for k in range(60)]
+    parent = {n: r.choice([*names, "", "absent"]) if r.random() < 0.3 else r.choice(names[max(0, k - 4) : k + 2]) for k, n in enumerate(names)}
+    parent |= {"x1": "x4", "x2": "x1", "x3": "x2", "x4": "x3", "y1": "x3", "y2": "y1", "y3": "y2", "z": "x1", "self": "self", "s1": "self"}
+    up = {}
+    for n in parent:
+        x, steps = parent[n], 1
+        while x in parent and (x, n) not in up:
+            up[(x, n)], x, steps = steps, parent[x], steps + 1
+    want = {(a, b, k) for (a, b), k in up.items() if a != b}
+    rows = nodes(spark, parent.items())
+    resolved = hierarchy.resolve(rows, paths=True).cache()
+    looped = hierarchy.loops(rows, resolved).cache()
+    got = [tuple(x) for x in hierarchy.descendants(resolved).unionByName(hierarchy.loop_descendants(looped)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    stuck = {n: root for n, (root, depth) in solve(parent).items() if depth == -1}
+    assert {x.node_id: (x.loop_id, x.in_loop) for x in looped.collect()} == {n: (root, (n, n) in up) for n, root in stuck.items()}
+    assert {x.node_id: x.path for x in looped.collect() if x.node_id in ("y3", "x2", "s1", "self")} == {"y3": ["x3", "y1", "y2", "y3"], "x2": ["x2"], "s1": ["self", "s1"], "self": ["self"]}
+
+
 def test_hierarchy_hub(spark):
     rows = [("root", None), *((f"k{k}", "root") for k in range(600)), *((f"g{k}", "k1") for k in range(600))]
     got = {x.node_id: (x.root_id, x.depth) for x in hierarchy.resolve(nodes(spark, rows)).collect()}
