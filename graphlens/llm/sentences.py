@@ -4,13 +4,15 @@ Method: document-centred disambiguation. A first pass over each document
 counts how every token that is written with a period goes on: before a lower
 case word or digit it must be an abbreviation, at the end of a block it ends a
 sentence. Those counts decide inside the document; where it is silent the
-counts of the corpus decide (joined per document, never broadcast); a short
+counts of the corpus decide (over distinct texts, joined per document, never
+broadcast); a short
 list of common abbreviations stands in where both are silent. Scripts without
 spaces or periods have their own terminators.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter
@@ -18,6 +20,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.session import stage
+
 # Abbreviations that never end a sentence, and some that may.
 NEVER_LAST = frozenset("mr mrs ms dr prof st no sec fig vol approx e.g i.e cf vs eq ch m mme mlle c.-à-d p pp pág pag sr sra dra ej dott sig ing bzw z b d h mind ca nr vgl см напр проф г. с т стр рис bkz örn tzn np str r vb dr bijv blz o.a d.w.z m.a.w د डॉ श्री".split())
 MAY_BE_LAST = frozenset("etc inc ltd co corp p.m a.m u.k u.s usw u.a д п г др ecc enz vd itp itd".split())
@@ -25,7 +29,9 @@ MAY_BE_LAST = frozenset("etc inc ltd co corp p.m a.m u.k u.s usw u.a д п г д
 MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner".split())
 
 #: A token counts as an abbreviation in the corpus from this share of unambiguous uses on, seen at least SEEN times.
-SHARE, SEEN, SEEN_TITLE = 0.3, 4, 12
+SHARE, SEEN = 0.3, 4
+#: One without unambiguous uses counts as one if that is so many times likelier than an ordinary word; PERIOD: how often an abbreviation has its period.
+LIKELIER, PERIOD = 1000, 0.99
 
 STOPS = ".!?。！？।॥؟…．｡۔"
 _FULL = "。！？।॥؟．｡۔"
@@ -42,6 +48,7 @@ _NUMBER = re.compile(r"[ \t]*(?:\d{1,3}[.)]|[A-Za-z]\))[ \t]+")
 _RULE = re.compile(r"[ \t]*([-*_=~`])(?:[ \t]*\1){2,}[ \t]*\w*[ \t]*$")
 _LINES = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 _THAI_SPACE = re.compile(r"(?<=[ก-ฺเ-๎])[  　]+(?=[ก-ฺเ-๎])")
+_BARE = re.compile(r"\w[\w\-'’]*(?:\.\w[\w\-'’]*)*(?!\.?[\w.])")
 _WORDISH = re.compile(r"[a-z][a-z0-9]*(?:[A-Z_]|\.\w+\(|\()")
 
 
@@ -125,7 +132,12 @@ def _token(text: str, start: int, stop: int) -> str:
     return m.group() if m else ""
 
 
-def evidence(text: str) -> dict[str, list[int]]:
+def _bare(text: str) -> Counter:
+    """Word -> uses without a period."""
+    return Counter(_BARE.findall(text.lower()))
+
+
+def evidence(text: str, bare: Counter | None = None) -> dict[str, list[int]]:
     """token -> [before lower case or digit, before what may begin a sentence, at the end of a block, without period]."""
     seen: dict[str, list[int]] = {}
     for a, b, _ in blocks(text):
@@ -151,7 +163,7 @@ def evidence(text: str) -> dict[str, list[int]]:
             elif not quoted:
                 s[1] += 1
     if seen:
-        bare = Counter(re.findall(r"\w[\w\-'’]*(?:\.\w[\w\-'’]*)*(?!\.?[\w.])", text.lower()))
+        bare = _bare(text) if bare is None else bare
         for w, s in seen.items():
             s[3] = bare.get(w, 0)
     return seen
@@ -255,6 +267,21 @@ def _cuts(text: str, a: int, b: int, doc: dict, corpus: dict) -> list[int]:
     return cuts
 
 
+def _title(total: DataFrame) -> F.Column:
+    """Whether a word is an abbreviation that always goes on before a capital ('Dr.').
+
+    Two likelihood ratios against an ordinary word, with rates of the corpus:
+    that it has a period so often, and that its periods never end a block.
+    """
+    n = F.col("low") + F.col("up") + F.col("last")
+    r = total.agg(F.sum(n).alias("dots"), F.sum("bare").alias("bare"), F.sum("up").alias("up"), F.sum("last").alias("last")).first()
+    if not r.dots or not r.bare or not r.last:
+        return F.lit(False)
+    rate, ends, least = min(r.dots / (r.dots + r.bare), 1 - PERIOD / 2), r.last / (r.last + r.up + 1), math.log(LIKELIER)
+    dotted = n * math.log(PERIOD / rate) + F.col("bare") * math.log((1 - PERIOD) / (1 - rate))
+    return (F.col("last") == 0) & (F.col("low") == 0) & (dotted >= least) & (n * -math.log(1 - ends) >= least)
+
+
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_char, end_char) of every sentence of every row.
 
@@ -268,14 +295,26 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
     def count(batches):
         for batch in batches:
-            keys, words, numbers = [], [], [[], [], [], []]
+            total: dict[str, list[int]] = {}
+            for t in batch.column(0).to_pylist():
+                bare = _bare(t)
+                seen = evidence(t, bare)
+                for w, k in bare.items():
+                    total.setdefault(w, [0, 0, 0, 0])[3] += k
+                for w, s in seen.items():
+                    have = total.setdefault(w, [0, 0, 0, 0])
+                    for n in range(3):
+                        have[n] += s[n]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([s[n] for s in total.values()], pa.int64()) for n in range(4))], names=["word", "low", "up", "last", "bare"])
+
+    def own(batches):
+        for batch in batches:
+            keys, words = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w, s in evidence(t).items():
+                for w in evidence(t, Counter()):
                     keys.append(k)
                     words.append(w)
-                    for n, x in zip(numbers, s):
-                        n.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(words, pa.string()), *(pa.array(n, pa.int64()) for n in numbers)], names=["_key", "word", "low", "up", "last", "bare"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(words, pa.string())], names=["_key", "word"])
 
     def cut(batches):
         for batch in batches:
@@ -287,13 +326,13 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
                     ends.append(e)
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["_key", "start_char", "end_char"])
 
-    counts = rows.mapInArrow(count, f"_key {kind}, word string, low long, up long, last long, bare long")
-    total = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "up", "last", "bare")])
+    # each text counts once, however often it is delivered; uses without period count in all texts
+    counts = rows.select("_text").distinct().mapInArrow(count, "word string, low long, up long, last long, bare long")
+    total = stage(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "up", "last", "bare")]), "words")
     n = F.col("low") + F.col("up") + F.col("last")
     plain = (n >= SEEN) & (F.col("low") >= SHARE * n)
-    title = (F.col("last") == 0) & (F.col("low") == 0) & (n >= SEEN_TITLE) & (F.col("bare") < n)
-    known = total.filter(plain | title).select("word", ((F.col("last") > 0) | (F.col("up") == 0)).alias("may"))
+    known = total.filter(plain | _title(total)).select("word", ((F.col("last") > 0) | (F.col("up") == 0)).alias("may"))
     # a token that many documents share is in `known` at most once; the pairs are as many as the documents' own tokens
-    told = counts.select("_key", "word").join(known, "word").groupBy("_key").agg(F.collect_set(F.struct("word", "may")).alias("known"))
+    told = rows.mapInArrow(own, f"_key {kind}, word string").join(known, "word").groupBy("_key").agg(F.collect_set(F.struct("word", "may")).alias("known"))
     out = rows.join(told, "_key", "left").select("_key", "_text", "known").mapInArrow(cut, f"_key {kind}, start_char int, end_char int")
     return out.withColumnRenamed("_key", key).distinct()

@@ -136,3 +136,31 @@ def test_mined_patterns(spark):
     out = {r.file_path: (r.reason, r.by) for r in provenance.classify(df, spark.createDataFrame([("t",)], "text string")).collect()}
     assert len(out) == 31 and out["q/vendor/plain.py"] == ("generated", "pattern") and "q/src/plain.py" not in out
     assert provenance.classify(df.limit(0), spark.createDataFrame([], "text string")).count() == 0
+
+
+def _pieces(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for r in sorted(map(tuple, sentences.sentences(df).collect())):
+        out.setdefault(r[0], []).append(texts[r[0]][r[1] : r[2]])
+    return out
+
+
+FILLER = ["The scheduler keeps what it was given. It waits for a slot. All others go on.\n\nA lock is held by one.", "Every reader sees one order. The log holds it all. Nothing else counts here.\n\nA new line is a new entry."]
+
+
+def test_copies_of_a_text_are_no_evidence(spark):
+    texts = [*FILLER, *["The work is completed. Then we leave the room."] * 40, "It is completed. Others follow."]
+    got = _pieces(spark, texts)
+    assert got[2] == ["The work is completed.", "Then we leave the room."]
+    assert got[len(texts) - 1] == ["It is completed.", "Others follow."]
+
+
+def test_uses_without_period_count_in_all_texts(spark):
+    texts = [*FILLER, *(f"Step {k} is completed. Then we leave room {k} for others." for k in range(40)), *(f"All completed parts of batch {k} go out" for k in range(60))]
+    assert _pieces(spark, texts)[2] == ["Step 0 is completed.", "Then we leave room 0 for others."]
+
+
+def test_title_of_the_corpus(spark):
+    texts = [*FILLER, *(f"We met Xyr. Smith{k} in room {k} on that day.\n\nThen item {k} was closed." for k in range(60))]
+    assert _pieces(spark, texts)[2][0] == "We met Xyr. Smith0 in room 0 on that day."
