@@ -1,8 +1,9 @@
-"""A collection of dense vectors: upsert, delete, exact top-k, and an index for many queries at once."""
+"""A collection of dense vectors: upsert, delete, exact top-k, of one query or of many at once."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,51 +40,65 @@ def delete_by_file(vectors: DataFrame, file_path: str) -> DataFrame:
     return vectors.filter(~F.element_at("metadata", F.lit("file_path")).eqNullSafe(F.lit(file_path)))
 
 
-def many_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 24, bits: int | None = None, seed: int = 7, probes: int = 2) -> DataFrame:
-    """(query_id, id, score, place): near neighbours of many queries, by random hyperplanes.
+def many_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    """(query_id, id, score, place): the k nearest of each of many queries, exact, ties by id.
 
-    ``tables`` hash tables of ``bits`` signs each (by default so many that a
-    bucket holds a few hundred vectors); a query also looks into the
-    ``probes`` buckets across its nearest planes. All vectors are indexed;
-    candidates are compared exactly, so scores are exact and only neighbours
-    can be missed. No bucket is capped.
+    Queries go in blocks of ``block``, and each block meets all vectors: a task
+    multiplies matrices and keeps what may be among the k nearest in its own
+    rows. Only those are scored and ranked. The work is queries times vectors.
     """
-    import numpy as np
-
-    n = vectors.count()
-    first = vectors.select(F.size("embedding").alias("d")).first()
-    if not n or first is None:
+    parts = [_near(vectors, rows, k) for rows in _blocks(queries.select("id", "embedding"), block)]
+    if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id string, id string, score double, place int")
-    bits = bits or max(1, math.ceil(math.log2(max(2, n / 256))))
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, first.d)).astype(np.float32)
-    shared = vectors.sparkSession.sparkContext.broadcast(planes)
-
-    def hashed(df: DataFrame, id_: str, name: str, extra: int) -> DataFrame:
-        @F.pandas_udf("array<long>")
-        def keys(e):
-            import pandas as pd
-
-            if not len(e):
-                return pd.Series([], dtype=object)
-            m = np.stack(e.to_numpy()).astype(np.float32)
-            out = []
-            for t, p in enumerate(shared.value):
-                s = m @ p.T
-                code = (s > 0) @ (1 << np.arange(bits))
-                out.append(code + (t << 32))
-                for near in np.argsort(np.abs(s), axis=1)[:, :extra].T:
-                    out.append((code ^ (1 << near)) + (t << 32))
-            return pd.Series(list(np.stack(out, axis=1)))
-
-        return df.select(F.col(id_).alias(name), F.explode(keys("embedding")).alias("bucket"))
-
-    candidates = hashed(queries, "id", "query_id", probes).join(hashed(vectors, "id", "id", 0), "bucket").select("query_id", "id").distinct()
+    candidates = parts[0]
+    for part in parts[1:]:
+        candidates = candidates.unionByName(part)
     q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = candidates.join(vectors.select("id", "embedding"), "id").join(q, "query_id").select("query_id", "id", cosine_distance(F.col("embedding"), F.col("q")).alias("score"))
+    scored = candidates.distinct().join(vectors.select("id", "embedding"), "id").join(q, "query_id").select("query_id", "id", cosine_distance(F.col("embedding"), F.col("q")).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return stage(scored, "scored").withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _blocks(rows: DataFrame, size: int) -> Iterator[list]:
+    """Rows in lists of ``size``; the driver holds one list and one partition at a time."""
+    at = rows.toLocalIterator()
+    while block := list(islice(at, size)):
+        yield block
+
+
+def _near(vectors: DataFrame, queries: list, k: int) -> DataFrame:
+    """(query_id, id): what may be among the k nearest of each query, of every task's rows. Written, so that the block can go."""
+    import numpy as np
+
+    def unit(m):
+        long = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(long > 0, long, 1)
+
+    names = [r.id for r in queries]
+    shared = vectors.sparkSession.sparkContext.broadcast((names, unit(np.array([r.embedding for r in queries], dtype=np.float64))))
+
+    def near(batches):
+        import pyarrow as pa
+
+        names, q = shared.value
+        best = np.full((len(names), k), np.inf)
+        which, ids, far = np.empty(0, np.int64), np.empty(0, object), np.empty(0)
+        for batch in batches:
+            own, rows = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
+            for a in range(0, len(own), 512):
+                d = 1 - q @ unit(np.array(rows[a : a + 512], dtype=np.float64)).T
+                best = np.partition(np.concatenate([best, d], axis=1), k - 1, axis=1)[:, :k]
+                # rounding may not decide: what is as near as the k-th, or nearly so, stays
+                least = best.max(axis=1) + 1e-9
+                i, j = np.nonzero(d <= least[:, None])
+                kept = far <= least[which]
+                which, ids, far = np.concatenate([which[kept], i]), np.concatenate([ids[kept], own[a : a + 512][j]]), np.concatenate([far[kept], d[i, j]])
+        for a in range(0, len(which), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in which[a : a + 10_000]], pa.string()), pa.array(ids[a : a + 10_000], pa.string())], names=["query_id", "id"])
+
+    return stage(vectors.select("id", "embedding").mapInArrow(near, "query_id string, id string"), "near")
+
+
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
     """(group, centroid): element-wise mean, by position, so no group is gathered."""
     parts = vectors.select(group, F.posexplode("embedding").alias("at", "x")).groupBy(group, "at").agg(F.avg("x").alias("x"))

@@ -206,3 +206,22 @@ def test_vector_recall(spark):
     near = {(r.query_id, r.id) for r in vectors.many_top_k(e, queries, 10).collect()}
     exact = {(q.id, r.id) for q in queries.collect() for r in vectors.top_k(e, list(q.embedding), 10).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_vector_neighbors_of_many_rows(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 20_000
+    m = np.random.default_rng(5).standard_normal((n, 64)).astype(np.float32)
+    m[7], m[300] = m[200], 0
+    pq.write_table(pa.table({"id": [str(k) for k in range(n)], "embedding": pa.array(list(m), pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    e = spark.read.parquet(str(tmp_path / "e.parquet"))
+    u = m.astype(np.float64) / np.maximum(np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True), 1e-30)
+    asked = [k for k in range(0, n, 100) if k != 300]
+    want = {(str(q), str(j)) for q, d in zip(asked, 1 - u[asked] @ u.T) for j in np.argsort(d, kind="stable")[:10]}
+    queries = e.filter("id % 100 = 0 AND id != 300")
+    assert {(r.query_id, r.id) for r in vectors.many_top_k(e, queries, 10).collect()} == want
+    assert {(r.query_id, r.id) for r in vectors.many_top_k(e.repartition(5), queries, 10, block=64).collect()} == want
+    assert vectors.many_top_k(e.limit(0), queries.limit(0)).count() == 0
