@@ -264,6 +264,12 @@ def checksums_empty(spark, d):
     return changelog.checksums(log).select(F.col("seq").alias("doc_id"), F.col("crc").cast("int").alias("crc"))
 
 
+@query()
+def checksums_all(spark, d):
+    log = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("payload"))
+    return changelog.checksums(log).select(F.col("seq").alias("doc_id"), "crc").distinct()
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

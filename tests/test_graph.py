@@ -225,3 +225,15 @@ def test_vector_neighbors_of_many_rows(spark, tmp_path):
     assert {(r.query_id, r.id) for r in vectors.many_top_k(e, queries, 10).collect()} == want
     assert {(r.query_id, r.id) for r in vectors.many_top_k(e.repartition(5), queries, 10, block=64).collect()} == want
     assert vectors.many_top_k(e.limit(0), queries.limit(0)).count() == 0
+
+
+def test_checksums_of_all_documents(spark):
+    import zlib
+
+    import __spark_entry__ as entry
+    from tests.helpers import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = {(r.doc_id, zlib.crc32((r.text or "").encode())) for r in docs}
+    got = [tuple(r) for r in entry.queries()["checksums_all"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
