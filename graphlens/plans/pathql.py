@@ -203,12 +203,12 @@ def _matching(nodes: DataFrame, node: Node, strict: bool) -> DataFrame:
     return out
 
 
-def run(graph: Graph, text: str, max_results: int = 10_000) -> Result:
+def run(graph: Graph, text: str, max_results: int | None = 10_000) -> Result:
     """Compile and prepare a path. Unknown start and edge types are errors, an unknown target type matches nothing.
 
     ``nodes`` holds the starts and the matches of every hop; ``edges`` each
     edge once, those walked under + included. ``max_results`` bounds the nodes
-    a hop hands on, least (hop, seq) first.
+    a hop hands on, least (hop, seq) first; None hands on all.
     """
     path = parse(text)
     nodes = graph.nodes
@@ -240,7 +240,8 @@ def run(graph: Graph, text: str, max_results: int = 10_000) -> Result:
             ends = walked.select("there", "_order").distinct()
         all_edges.append(walked.select("source_id", "target_id", "type"))
         matched = ends.groupBy("there").agg(F.min("_order").alias("_order"))
-        current = stage(matched.orderBy("_order", "there").limit(max_results).select(F.col("there").alias("id")), "hop")
+        kept = matched if max_results is None else matched.orderBy("_order", "there").limit(max_results)
+        current = stage(kept.select(F.col("there").alias("id")), "hop")
         all_nodes.append(current)
     found = all_nodes[0]
     for more in all_nodes[1:]:

@@ -104,6 +104,11 @@ def path_one_hop(spark, d):
     return pathql.run(g, "Function[name=~'1'] CALLS Function", 10**9).edges
 
 
+@query(sql("select distinct e.source_id, e.target_id, e.type from edges e join nodes a on a.id = e.source_id join nodes b on b.id = e.target_id where e.type = 'CALLS' and a.type = 'Function' and b.type = 'Function'"))
+def path_one_hop_all(spark, d):
+    return pathql.run(graph(spark, d), "Function CALLS Function", None).edges
+
+
 @query(sql("""select distinct e.source_id, e.target_id, e.type from edges e where e.type = 'CONTAINS' and e.source_id = 'region::1'
     union select distinct f.source_id, f.target_id, f.type from edges e join edges f on f.source_id = e.target_id join nodes n on n.id = f.target_id where e.type = 'CONTAINS' and e.source_id = 'region::1' and f.type = 'CONTAINS' and n.type = 'File'"""))
 def path_two_hop(spark, d):
@@ -289,6 +294,13 @@ def snapshot_diff(spark, d):
     return sets.diff(before, sets.baseline(renamed.filter(~F.col("id").isin("nation::1", "nation::2"))))
 
 
+@query(sql("select id, case seq % 11 when 2 then 'removed' when 3 then 'changed' else 'added' end as change from nodes where seq % 11 in (2, 3, 4)"))
+def snapshot_diff_all(spark, d):
+    nodes = graph(spark, d).nodes
+    renamed = nodes.withColumn("structural", F.when(F.col("seq") % 11 == 3, F.col("structural").withField("name", F.lit("other"))).otherwise(F.col("structural")))
+    return sets.diff(sets.baseline(nodes.filter("seq % 11 != 4")), sets.baseline(renamed.filter("seq % 11 != 2")))
+
+
 @query(sql("select id, case when type = 'Repository' then 'missing_locally' when type = 'Package' then 'missing_remotely' else 'in_sync' end as state from nodes where type <> 'Function'"))
 def sync_delta(spark, d):
     nodes = graph(spark, d).nodes.filter("type <> 'Function'")
@@ -305,6 +317,11 @@ def integrity_check(spark, d):
     return sets.check(_signed(graph(spark, d))).join(graph(spark, d).find_nodes("Package").select("id"), "id", "left_semi")
 
 
+@query(sql("select id, true as ok from nodes"))
+def integrity_check_all(spark, d):
+    return sets.check(_signed(graph(spark, d)))
+
+
 @query(sql("select 'orphan' as problem, source_id, target_id, type from edges where source_id in (select id from nodes where type = 'Repository') union all select 'dangling', source_id, target_id, type from edges where target_id in (select id from nodes where type = 'Repository')"))
 def integrity_dangling(spark, d):
     g = graph(spark, d)

@@ -237,3 +237,23 @@ def test_checksums_of_all_documents(spark):
     want = {(r.doc_id, zlib.crc32((r.text or "").encode())) for r in docs}
     got = [tuple(r) for r in entry.queries()["checksums_all"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+
+
+def test_whole_graph_queries_see_every_node(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from graphlens.operators import sets
+    from graphlens.queries import graph as whole
+    from tests.helpers import SF
+
+    def tampered(g):
+        name = F.when(F.col("seq") % 7 == 0, F.lit("tampered")).otherwise(F.col("structural.name"))
+        return sets.baseline(g.nodes).withColumn("structural", F.col("structural").withField("name", name))
+
+    monkeypatch.setattr(whole, "_signed", tampered)
+    nodes = {r.id: r for r in whole.graph(spark, SF).nodes.select("id", "type", "seq").collect()}
+    bad = {r.id for r in entry.queries()["integrity_check_all"](spark, SF).filter("NOT ok").collect()}
+    assert bad == {i for i, r in nodes.items() if r.seq % 7 == 0}
+    changed = {nodes[r.id].type for r in entry.queries()["snapshot_diff_all"](spark, SF).collect()}
+    for types in ({nodes[i].type for i in bad}, changed):
+        assert types >= {"Package", "File", "Class", "Function"}
+    assert entry.entry(spark).count() > 0
