@@ -11,6 +11,7 @@ a published file it equals but for small changes) decides as well.
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter
 
@@ -50,7 +51,7 @@ def head(text: str) -> str:
     """The comment lines a text begins with; blank lines and a first line of '#!' belong to them."""
     out = []
     block = False
-    for line in text.lstrip("﻿").split("\n", 40)[:40]:
+    for line in io.StringIO(text.lstrip("﻿"), newline="\n"):
         s = line.strip()
         if block or not s or s.startswith(("//", "#", "/*", "*", "<!--", "<?")) and not s.startswith(("#[", "#include", "#define")):
             out.append(s)

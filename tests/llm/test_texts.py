@@ -164,3 +164,10 @@ def test_uses_without_period_count_in_all_texts(spark):
 def test_title_of_the_corpus(spark):
     texts = [*FILLER, *(f"We met Xyr. Smith{k} in room {k} on that day.\n\nThen item {k} was closed." for k in range(60))]
     assert _pieces(spark, texts)[2][0] == "We met Xyr. Smith0 in room 0 on that day."
+
+
+def test_mark_below_a_long_licence():
+    known = provenance.Published(["t"])
+    licence = "".join(f"# Line {k} of the licence.\n" for k in range(60))
+    assert provenance.evidence(licence + "# Code generated by x. DO NOT EDIT.\nimport os\n", known) == "generated"
+    assert provenance.evidence(licence + "import os\n\n# Code generated by x. DO NOT EDIT.\n", known) == ""
