@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlens import schema
 from graphlens.functions import scalar
+from graphlens.operators.order import numbered
 from graphlens.operators.traverse import traverse, with_nodes
 from graphlens.session import stage
 from graphlens.store import Graph
@@ -119,8 +120,16 @@ def file_summaries(graph: Graph) -> DataFrame:
     )
 
 
+def test_files(graph: Graph, id_: str) -> DataFrame:
+    """(position, file_path): the distinct files of what tests a node, in order of the path."""
+    tests = graph.get_edges(id_, "TESTS", "incoming").select(F.col("source_id").alias("id")).join(graph.nodes.select("id", "file_path"), "id")
+    return numbered(tests.select("file_path").distinct(), ["file_path"], "position", 1).select("position", "file_path")
+
+
 def context(graph: Graph, file_path: str, depth: int = 2) -> dict[str, DataFrame]:
-    """All about one file, as frames: self, imports, imported_by, defines, related_patterns, entry_points, data_flow_in, data_flow_out, summary.
+    """All about one file, as frames: self, imports, imported_by, defines, related_patterns, entry_points, data_flow_in, data_flow_out, tests, summary.
+
+    ``tests`` (position, file_path): files with tests of it, each once, in order.
 
     An unknown file gives {}.
     """
@@ -142,6 +151,7 @@ def context(graph: Graph, file_path: str, depth: int = 2) -> dict[str, DataFrame
         "entry_points": defined.filter(F.size(web) > 0).select(F.col("structural.name").alias("name"), web.alias("decorators"), "file_path"),
         "data_flow_in": flow("incoming"),
         "data_flow_out": flow("outgoing"),
+        "tests": test_files(graph, id_),
         "summary": file_summaries(mine).filter(F.col("file_path") == file_path),
     }
 

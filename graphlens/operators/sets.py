@@ -66,6 +66,11 @@ def _combined(text: F.Column) -> F.Column:
     return F.sha2(F.concat_ws(":", F.count("*").cast("string"), total(1), total(16)), 256)
 
 
+def file_hashes(nodes: DataFrame) -> DataFrame:
+    """(path, hash, nodes) of every file: a hash over its nodes' signatures, as a set."""
+    return nodes.groupBy(F.coalesce("file_path", F.lit("")).alias("path")).agg(_combined(F.concat_ws("=", "id", node_signature())).alias("hash"), F.count("*").alias("nodes"))
+
+
 def merkle(nodes: DataFrame) -> DataFrame:
     """(path, depth, hash, nodes): a hash of every file and directory, made bottom-up; '' is the whole tree.
 
@@ -75,8 +80,7 @@ def merkle(nodes: DataFrame) -> DataFrame:
     """
     from graphlens.session import stage
 
-    files = nodes.groupBy(F.coalesce("file_path", F.lit("")).alias("path")).agg(_combined(F.concat_ws("=", "id", node_signature())).alias("hash"), F.count("*").alias("nodes"))
-    level = stage(files.select("path", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))).alias("depth"), "hash", "nodes"), "merkle")
+    level = stage(file_hashes(nodes).select("path", F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/"))).alias("depth"), "hash", "nodes"), "merkle")
     deepest = level.agg(F.max("depth")).first()[0] or 0
     out = level
     for depth in range(deepest, 0, -1):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens import schema
+from graphlens.operators.order import numbered
 from graphlens.session import Staged, stage
 from graphlens.store import Graph
 
@@ -21,6 +22,21 @@ def _first(graph: Graph, ids: list[str]) -> DataFrame:
     return graph.spark.createDataFrame([(x, 0, k, -1) for k, x in enumerate(ids)], _REACHED)
 
 
+def _known_steps(graph: Graph, types: list[str] | None, direction: str, columns: tuple[str, ...]) -> DataFrame:
+    """Steps (here, there, ...): read from the store where that is cheap, else worked out and written once, in ranges of ``here``."""
+    steps = graph.ends(types, direction).select(*columns)
+    if graph.stored:
+        return steps
+    return stage(steps.repartitionByRange("here", "there").sortWithinPartitions("here"), "steps")
+
+
+def _from(steps: DataFrame, frontier: DataFrame, most: int = 256) -> DataFrame:
+    """Frontier rows (here, ...) with their steps. A small frontier is named in a filter, so that files without its nodes are not read."""
+    few = [r.here for r in frontier.select("here").distinct().limit(most + 1).collect()]
+    near = steps.filter(F.col("here").isin(few)) if len(few) <= most else steps
+    return frontier.join(near, "here")
+
+
 def traverse(graph: Graph, start: str, types: list[str] | None = None, depth: int = 3, max_nodes: int | None = 100, direction: str = "outgoing") -> DataFrame:
     """(id, level, rank, parent_rank) in breadth-first order, the start node first.
 
@@ -29,12 +45,16 @@ def traverse(graph: Graph, start: str, types: list[str] | None = None, depth: in
     where the walk is. The cap is looked at before a node is expanded, so the
     last expansion may overshoot it: a node is kept if fewer than ``max_nodes``
     nodes were there before its parent was expanded.
+
+    With a cap a level has fewer than ``max_nodes`` nodes to expand, so their
+    numbers of children fit on the driver, which finds the parent that passes
+    the cap; what later parents reach is dropped before anything is ordered.
     """
     known = graph.nodes.select(F.col("id").alias("there"))
     begin = graph.nodes.filter(F.col("id") == start).select("id").limit(1).collect()
     if not begin:
         return graph.spark.createDataFrame([], _REACHED)
-    steps = graph.ends(types, "incoming" if direction == "incoming" else "outgoing").select("here", "there", "seq")
+    steps = _known_steps(graph, types, "incoming" if direction == "incoming" else "outgoing", ("here", "there", "seq"))
     levels = [Staged(_first(graph, [start]), "bfs")]
     total = 1
     for level in range(1, depth + 1):
@@ -44,13 +64,20 @@ def traverse(graph: Graph, start: str, types: list[str] | None = None, depth: in
         reached = levels[0].df.select("id")
         for x in levels[1:]:
             reached = reached.unionByName(x.df.select("id"))
-        met = frontier.join(steps, "here").groupBy("there").agg(F.min(F.struct("parent_rank", "seq")).alias("m"))
+        met = _from(steps, frontier).groupBy("there").agg(F.min(F.struct("parent_rank", "seq")).alias("m"))
         new = met.join(reached.withColumnRenamed("id", "there"), "there", "left_anti").join(known, "there", "left_semi")
-        # the number of new rows is that of one level; ranks order the whole level, as the cap depends on them
-        order = Window.orderBy("m.parent_rank", "m.seq", "there")
-        ranked = new.select(F.col("there").alias("id"), F.lit(level).alias("level"), (F.row_number().over(order) + F.lit(total - 1)).cast("bigint").alias("rank"), F.col("m.parent_rank").alias("parent_rank"))
-        nxt = Staged(ranked if max_nodes is not None else new.select(F.col("there").alias("id"), F.lit(level).alias("level"), F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("parent_rank")), "bfs")
-        n = nxt.df.count()
+        new = Staged(new.select(F.col("there").alias("id"), F.lit(level).alias("level"), F.col("m.parent_rank").alias("parent_rank"), F.col("m.seq").alias("seq")), "met")
+        if max_nodes is None:
+            n = new.df.count()
+            nxt = Staged(new.df.select("id", "level", F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("parent_rank")), "bfs")
+        else:
+            n, last = 0, -1
+            for parent, children in sorted(tuple(r) for r in new.df.groupBy("parent_rank").agg(F.count("*")).collect()):
+                if total + n >= max_nodes:
+                    break
+                n, last = n + children, parent
+            nxt = Staged(numbered(new.df.filter(F.col("parent_rank") <= last), ["parent_rank", "seq", "id"], "rank", total).select("id", "level", "rank", "parent_rank"), "bfs")
+        new.drop()
         if not n:
             nxt.drop()
             break
@@ -59,11 +86,7 @@ def traverse(graph: Graph, start: str, types: list[str] | None = None, depth: in
     out = levels[0].df
     for x in levels[1:]:
         out = out.unionByName(x.df)
-    if max_nodes is None:
-        return out
-    # capped: nodes there before the parent's expansion are those whose own parent came before it
-    before = F.count(F.when(F.col("level") > 0, 1)).over(Window.orderBy("parent_rank").rangeBetween(Window.unboundedPreceding, -1))
-    return out.withColumn("before", 1 + before).filter((F.col("level") == 0) | (F.col("before") < max_nodes)).drop("before")
+    return out
 
 
 def neighbors(graph: Graph, id_: str, types: list[str] | None = None, depth: int = 1) -> DataFrame:
@@ -104,20 +127,38 @@ def impact_files(affected: DataFrame) -> DataFrame:
     return affected.groupBy("file_path").agg(F.min("rank").alias("position"))
 
 
-def reachable(graph: Graph, starts: DataFrame, types: list[str] | None, direction: str = "outgoing") -> DataFrame:
-    """(id) of nodes at one step or more from any start; a start is among them only if a path leads back to one."""
-    steps = stage(graph.ends(types, direction).select("here", "there").distinct().join(graph.nodes.select(F.col("id").alias("there")), "there", "left_semi"), "steps")
-    frontier = Staged(starts.select("id").distinct(), "frontier")
-    seen = None
+def reachable(graph: Graph, starts: DataFrame, types: list[str] | None, direction: str = "outgoing", merge: int = 8) -> DataFrame:
+    """(id) of nodes at one step or more from any start; a start is among them only if a path leads back to one.
+
+    As many rounds as the longest shortest path. A round joins the last level
+    with the steps; what was seen before is kept in few tables: every
+    ``merge`` levels they are written as one and the old ones freed.
+    """
+    known = graph.nodes.select(F.col("id").alias("there"))
+    steps = _known_steps(graph, types, direction, ("here", "there"))
+    frontier, seen = Staged(starts.select("id").distinct(), "frontier"), []
     while True:
-        new = frontier.df.withColumnRenamed("id", "here").join(steps, "here").select(F.col("there").alias("id")).distinct()
-        if seen is not None:
-            new = new.join(seen, "id", "left_anti")
+        new = _from(steps, frontier.df.withColumnRenamed("id", "here")).select(F.col("there").alias("id")).distinct().join(known.withColumnRenamed("there", "id"), "id", "left_semi")
+        for x in seen:
+            new = new.join(x.df, "id", "left_anti")
         nxt = Staged(new, "frontier")
         if nxt.df.isEmpty():
-            return seen if seen is not None else nxt.df
-        seen = nxt.df if seen is None else seen.unionByName(nxt.df)
+            break
+        if not seen:
+            frontier.drop()
+        seen.append(nxt)
         frontier = nxt
+        if len(seen) > merge:
+            old, whole = seen[:-1], seen[0].df
+            for x in old[1:]:
+                whole = whole.unionByName(x.df)
+            seen = [Staged(whole, "seen"), nxt]
+            for x in old:
+                x.drop()
+    out = seen[0].df if seen else nxt.df
+    for x in seen[1:]:
+        out = out.unionByName(x.df)
+    return out
 
 
 def distances(graph: Graph, start: str, types: list[str] | None = None, direction: str = "outgoing", most: int = 10) -> DataFrame:
@@ -152,11 +193,11 @@ def flow(graph: Graph, start: str, end: str, flow_type: str = "data", max_edges:
 
 def _shortest(graph: Graph, start: str, end: str, types: list[str], max_edges: int) -> list[str] | None:
     """Forward levels until the end is met, then back along them: each node keeps the least path that leads to it."""
-    steps = graph.ends(types).select("here", "there").distinct()
+    steps = _known_steps(graph, types, "outgoing", ("here", "there"))
     frontier = Staged(graph.spark.createDataFrame([(start, [start])], "id string, path array<string>"), "flow")
     seen = frontier.df.select("id")
     for _ in range(max_edges):
-        new = frontier.df.withColumnRenamed("id", "here").join(steps, "here").groupBy("there").agg(F.min("path").alias("path"))
+        new = _from(steps, frontier.df.withColumnRenamed("id", "here")).groupBy("there").agg(F.min("path").alias("path"))
         new = new.join(seen.withColumnRenamed("id", "there"), "there", "left_anti").select(F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
         frontier = Staged(new, "flow")
         hit = frontier.df.filter(F.col("id") == end).limit(1).collect()
@@ -175,11 +216,11 @@ def dependency_chain(graph: Graph, start: str, end: str, max_edges: int = 10) ->
 
 def seed_walk(graph: Graph, seeds: DataFrame, hops: int = 2, types: list[str] | None = None) -> DataFrame:
     """(id, level): nodes within ``hops`` steps of any seed, in either direction; seeds have level 0."""
-    steps = graph.ends(types, "either").select("here", "there").distinct().join(graph.nodes.select(F.col("id").alias("there")), "there", "left_semi")
+    steps = graph.ends(types, "either").select("here", "there").join(graph.nodes.select(F.col("id").alias("there")), "there", "left_semi")
     frontier = stage(seeds.select("id").distinct().withColumn("level", F.lit(0)), "seeds")
     out = frontier
     for level in range(1, hops + 1):
-        new = frontier.select(F.col("id").alias("here")).join(steps, "here").select(F.col("there").alias("id")).distinct().join(out.select("id"), "id", "left_anti")
+        new = _from(steps, frontier.select(F.col("id").alias("here"))).select(F.col("there").alias("id")).distinct().join(out.select("id"), "id", "left_anti")
         frontier = stage(new.withColumn("level", F.lit(level)), "walk")
         out = out.unionByName(frontier)
     return out

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlens import schema
+from graphlens.operators.order import first
 from graphlens.session import stage
 from graphlens.store import Graph
 
@@ -58,11 +59,12 @@ class Path:
 
 @dataclass
 class Result:
-    """``nodes`` (id), ``edges`` (source_id, target_id, type) and a one-row frame of counts."""
+    """``nodes`` (id), ``edges`` (source_id, target_id, type), a one-row frame of counts, and the hops (from 1) that ``max_results`` cut."""
 
     nodes: DataFrame
     edges: DataFrame
     stats: DataFrame
+    cut: list[int] = field(default_factory=list)
 
 
 _TOKEN = re.compile(r"""\s*(?:(?P<arrow><->|->|<-)|(?P<op>=~|!=|=)|(?P<punct>[\[\],*+])|(?P<string>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<number>\d+(?:\.\d+)?)|(?P<ident>[A-Za-z_][\w]*))""")
@@ -203,20 +205,22 @@ def _matching(nodes: DataFrame, node: Node, strict: bool) -> DataFrame:
     return out
 
 
-def run(graph: Graph, text: str, max_results: int | None = 10_000) -> Result:
+def run(graph: Graph, text: str, max_results: int | None = None) -> Result:
     """Compile and prepare a path. Unknown start and edge types are errors, an unknown target type matches nothing.
 
     ``nodes`` holds the starts and the matches of every hop; ``edges`` each
-    edge once, those walked under + included. ``max_results`` bounds the nodes
-    a hop hands on, least (hop, seq) first; None hands on all.
+    edge once, those walked under + included. By default every hop hands on all
+    its nodes. ``max_results`` is a feature of its own: it bounds the nodes a
+    hop hands on, in order of insertion, and ``Result.cut`` names the hops
+    where it left some out.
     """
     path = parse(text)
     nodes = graph.nodes
     current = _matching(nodes, path.start, True).select("id", "seq")
     current = stage(current.select("id"), "starts")
-    all_nodes, all_edges = [current], []
+    all_nodes, all_edges, cut = [current], [], []
     walked = None
-    for edge, node in path.hops:
+    for hop, (edge, node) in enumerate(path.hops, 1):
         types = None
         if edge.type is not None:
             known = schema.edge_type(edge.type)
@@ -240,8 +244,12 @@ def run(graph: Graph, text: str, max_results: int | None = 10_000) -> Result:
             ends = walked.select("there", "_order").distinct()
         all_edges.append(walked.select("source_id", "target_id", "type"))
         matched = ends.groupBy("there").agg(F.min("_order").alias("_order"))
-        kept = matched if max_results is None else matched.orderBy("_order", "there").limit(max_results)
-        current = stage(kept.select(F.col("there").alias("id")), "hop")
+        if max_results is not None:
+            matched = stage(matched, "matched")
+            if matched.count() > max_results:
+                cut.append(hop)
+                matched = first(matched, max_results, ["_order", "there"])
+        current = stage(matched.select(F.col("there").alias("id")), "hop")
         all_nodes.append(current)
     found = all_nodes[0]
     for more in all_nodes[1:]:
@@ -256,4 +264,4 @@ def run(graph: Graph, text: str, max_results: int | None = 10_000) -> Result:
     count = lambda k: F.sum((F.col("k") == k).cast("bigint"))
     rows = one(found, 0).unionByName(one(edges, 1)).unionByName(one(current, 2))
     counts = rows.agg(*[F.coalesce(count(k), F.lit(0)).alias(name) for k, name in enumerate(("matched_nodes", "matched_edges", "terminal_nodes"))]).withColumn("hops", F.lit(len(path.hops)))
-    return Result(found, edges, counts)
+    return Result(found, edges, counts, cut)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.session import table
+from graphlens.session import exists, scratch, table
 from graphlens.store import Graph
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -36,8 +36,17 @@ def flat(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return spark.sql(NODES, **tables), spark.sql(EDGES, **tables)
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def graph(spark: SparkSession, d: str) -> Graph:
-    return Graph.from_flat(*flat(spark, d))
+    """The graph of a folder's tables, saved once per application as a store and opened from then on."""
+    key = (spark.sparkContext.applicationId, d)
+    path = _SAVED.get(key)
+    if path is None or not exists(spark, f"{path}/edges_by_target/_SUCCESS"):
+        path = _SAVED[key] = scratch(spark, "graph")
+        Graph.from_flat(*flat(spark, d)).save(path)
+    return Graph.load(spark, path)
 
 
 def sql(rest: str, recursive: bool = False) -> str:

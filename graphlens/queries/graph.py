@@ -52,9 +52,9 @@ def scope_prefix(spark, d):
     return graph(spark, d).in_scope("package:src/shared").select("id")
 
 
-@query(sql("select id, name from nodes where regexp_matches(name, '(?i)^p.*1$')"))
+@query(sql("select id, name from nodes where regexp_matches(name, '(?i)^S.*(ring|bolt)$')"))
 def regex_filter(spark, d):
-    return graph(spark, d).nodes.filter(pathql.condition(pathql.Filter("name", "=~", "(?i)^p.*1$"))).select("id", F.col("structural.name").alias("name"))
+    return graph(spark, d).nodes.filter(pathql.condition(pathql.Filter("name", "=~", "(?i)^S.*(ring|bolt)$"))).select("id", F.col("structural.name").alias("name"))
 
 
 @query(sql("select count(*) as nodes, (select count(*) from edges) as edges from nodes"))
@@ -64,7 +64,7 @@ def count_graph(spark, d):
 
 @query(sql("select type, count(*) as n from nodes group by type"))
 def count_by_type(spark, d):
-    return graph(spark, d).nodes.groupBy("type").agg(F.count("*").alias("n"))
+    return telemetry.types(graph(spark, d))
 
 
 # degrees
@@ -93,20 +93,12 @@ def edges_by_type_per_node(spark, d):
 
 # path expressions
 def _edges(spark, d, text):
-    return pathql.run(graph(spark, d), text, 10**9).edges
-
-
-@query(sql("select distinct e.source_id, e.target_id, e.type from edges e join nodes a on a.id = e.source_id join nodes b on b.id = e.target_id where e.type = 'CALLS' and a.type = 'Function' and b.type = 'Function' and a.complexity = 7 and regexp_matches(a.name, '1')"))
-def path_one_hop(spark, d):
-    g = graph(spark, d)
-    ids = g.nodes.filter("structural.complexity = 7").select("id")
-    g.edges = g.edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-    return pathql.run(g, "Function[name=~'1'] CALLS Function", 10**9).edges
+    return pathql.run(graph(spark, d), text).edges
 
 
 @query(sql("select distinct e.source_id, e.target_id, e.type from edges e join nodes a on a.id = e.source_id join nodes b on b.id = e.target_id where e.type = 'CALLS' and a.type = 'Function' and b.type = 'Function'"))
-def path_one_hop_all(spark, d):
-    return pathql.run(graph(spark, d), "Function CALLS Function", None).edges
+def path_one_hop(spark, d):
+    return _edges(spark, d, "Function CALLS Function")
 
 
 @query(sql("""select distinct e.source_id, e.target_id, e.type from edges e where e.type = 'CONTAINS' and e.source_id = 'region::1'
@@ -130,9 +122,9 @@ def path_untyped(spark, d):
     return _edges(spark, d, "*[id='supplier::3'] -> Function")
 
 
-@query(sql("select distinct e.source_id, e.target_id, e.type from edges e join nodes b on b.id = e.target_id where e.type = 'IMPORTS' and e.source_id = 'supplier::3' and b.type = 'Function' and b.docstring <> 'X' and regexp_matches(b.name, '2')"))
+@query(sql("select distinct e.source_id, e.target_id, e.type from edges e join nodes b on b.id = e.target_id where e.type = 'IMPORTS' and e.source_id = 'supplier::3' and b.type = 'Function' and b.docstring <> 'PROMO' and regexp_matches(b.name, '^(red|old) ')"))
 def path_filter_target(spark, d):
-    return _edges(spark, d, "*[id='supplier::3'] IMPORTS Function[docstring!='X', name=~'2']")
+    return _edges(spark, d, "*[id='supplier::3'] IMPORTS Function[docstring!='PROMO', name=~'^(red|old) ']")
 
 
 @query(sql(""", reach as (select target_id as id from edges where type = 'CONTAINS' and source_id = 'region::2' union select e.target_id from edges e join reach r on e.source_id = r.id where e.type = 'CONTAINS')
@@ -155,7 +147,19 @@ def trace_depth3(spark, d):
     return traverse.distances(graph(spark, d), "part::1", ["CALLS"], most=3)
 
 
-@query()
+def _capped(start: str, depth: int, cap: int) -> str:
+    """Levels unrolled: a level holds what no earlier one has, in order of parent, then edge; a row stays if its parent came before the cap."""
+    out, before = f", l0 as (select '{start}' as id, 0 as level, 0::bigint as rank, -1::bigint as parent_rank)", "select * from l0"
+    for k in range(1, depth + 1):
+        out += f""", m{k} as (select e.target_id as id, min((w.rank, e.seq)) as m from l{k - 1} w join edges e on e.source_id = w.id where e.type = 'CALLS' and e.target_id in (select id from nodes)
+            and e.target_id not in (select id from ({before})) group by 1),
+            a{k} as (select id, {k} as level, row_number() over (order by m, id) - 1 + (select count(*) from ({before})) as rank, m[1] as parent_rank from m{k}),
+            l{k} as (select * from a{k} a where (select count(*) from ({before} union all select * from a{k}) b where b.parent_rank < a.parent_rank) < {cap})"""
+        before += f" union all select * from l{k}"
+    return out + f", walked as ({before})"
+
+
+@query(sql(_capped("part::1", 3, 100) + " select w.id, level, rank, n.name from walked w join nodes n using (id)").replace("a.parent_rank) <", "a.parent_rank) + 0 <"))
 def trace_capped(spark, d):
     return traverse.trace(graph(spark, d), "part::1").select("id", "level", "rank", "name")
 
@@ -207,12 +211,12 @@ def why_first_k(spark, d):
     return explore.why(graph(spark, d), "part::5").select("side", F.col("position").cast("bigint").alias("position"), "edge_type", "other", "file")
 
 
-_SCORE = "(case when contains(lower(name), 'part') then 3 else 0 end + case when contains(lower(docstring), 'part') then 2 else 0 end + case when contains(lower(name), 'ste') then 3 else 0 end + case when contains(lower(docstring), 'ste') then 2 else 0 end)"
+_SCORE = "(case when contains(lower(name), 'bolt') then 3 else 0 end + case when contains(lower(docstring), 'bolt') then 2 else 0 end + case when contains(lower(name), 'econ') then 3 else 0 end + case when contains(lower(docstring), 'econ') then 2 else 0 end)"
 
 
 @query(sql(f"select id, type, name, file_path, {_SCORE} as score from nodes where {_SCORE} > 0 order by score desc, seq limit 5"))
 def search_topk(spark, d):
-    return explore.search(graph(spark, d), ["part", "ste"])
+    return explore.search(graph(spark, d), ["bolt", "ECON"])
 
 
 @query(sql("""select id, name, file_path as file, case when contains(lower(name), 'machinery') then 100 when contains(lower(docstring), 'machinery') then 30 end as score from nodes where contains(lower(name), 'machinery') or contains(lower(docstring), 'machinery') order by score desc, seq limit 5"""))
@@ -220,9 +224,14 @@ def locate_topk(spark, d):
     return explore.locate(graph(spark, d), "machinery").select("id", "name", "file", "score")
 
 
-@query()
+_CHARS = "list_distinct(list_filter(string_split(lower({0}), ''), lambda x: x <> ''))"
+
+
+@query(sql(f""", me as (select type, name from nodes where file_path = 'repo/nation_1' order by seq limit 1),
+    liked as (select n.file_path, n.name, n.seq, len(list_intersect({_CHARS.format("n.name")}, {_CHARS.format("me.name")})) * 1.0 / len(list_distinct(list_concat({_CHARS.format("n.name")}, {_CHARS.format("me.name")}))) as s from nodes n join me using (type) where n.file_path <> 'repo/nation_1')
+    select file_path, name, round(s, 2) as similarity from liked where s > 0.5 order by similarity desc, seq limit 5"""))
 def related_patterns(spark, d):
-    return explore.related_patterns(graph(spark, d), "repo/france")
+    return explore.related_patterns(graph(spark, d), "repo/nation_1")
 
 
 @query(sql("""select id, len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))) as similarity from (select id, list_distinct(list_filter(string_split(lower(name), ''), lambda x: x <> '')) as a, list_distinct(string_split('germany', '')) as b from nodes where type = 'Package')"""))
@@ -253,11 +262,21 @@ def risk_level(spark, d):
     return explore.file_summaries(graph(spark, d)).select("file_path", "risk_level")
 
 
-@query()
+@query(sql(_FILES + """, api as (select e.target_id as id, count(*) as c from edges e join nodes n on n.id = e.source_id where e.type = 'IMPORTS' and contains(n.file_path, '/api') group by 1),
+    tested as (select distinct target_id as id from edges where type = 'TESTS' and source_id in (select id from nodes))
+    select file_path, id, case when blast > 5 then 'core_utility' when blast = 0 and defined = 0 then 'isolated' else 'module' end as role, blast as blast_radius, coalesce(api.c, 0) as api_layer_callers, defined, round_even(mean, 1) as avg_complexity, cast(most as int) as max_complexity,
+      tested.id is not null as has_tests, blast > 10 or most > 8 as is_hot_node, blast + most as heat_score, case when blast > 10 or round_even(mean, 1) > 8 then 'high' when blast > 3 or round_even(mean, 1) > 4 then 'medium' else 'low' end as risk_level
+    from summed left join api using (id) left join tested using (id) where file_path = 'src/lib/s3.py'"""))
 def context_summary(spark, d):
     return explore.context(graph(spark, d), "src/lib/s3.py")["summary"]
 
 
+@query(sql("""select row_number() over (order by n.file_path) as position, n.file_path from edges e join nodes n on n.id = e.source_id
+    where e.type = 'TESTS' and e.target_id = (select id from nodes where file_path = 'src/lib/s6.py' order by seq limit 1) group by n.file_path"""))
+def context_tests(spark, d):
+    return explore.context(graph(spark, d), "src/lib/s6.py")["tests"].select(F.col("position").cast("bigint").alias("position"), "file_path")
+
+
 @query(sql("select n.id, coalesce(c, 0) as caller_count, coalesce(c, 0) > 5 as conflict from nodes n left join (select target_id as id, count(*) as c from edges where type = 'CALLS' group by 1) using (id)"))
 def conflict_callers(spark, d):
     return explore.conflicts(graph(spark, d)).select("id", "caller_count", "conflict")
@@ -276,26 +295,26 @@ def plan_multi_file(spark, d):
     return explore.plan_files(graph(spark, d), ["src/shared/p1.py", "src/shared/p2.py", "src/shared/p3.py"]).select("step", "file", "dependants_in_plan", "dependencies_in_plan")
 
 
-@query()
-def dependency_layers(spark, d):
-    return explore.dependency_order(graph(spark, d), [f"src/lib/s{k}.py" for k in range(1, 6)] + ["src/shared/p1.py", "src/shared/p6.py"])
+_PLANNED = [f"src/lib/s{k}.py" for k in range(1, 6)] + ["src/shared/p1.py", "src/shared/p6.py"]
 
 
-# comparing graphs
-def _signed(g):
-    return sets.baseline(g.nodes)
+def _layers(files: list[str]) -> str:
+    listed = ", ".join(f"('{f}')" for f in files)
+    out = f""", listed as (select * from (values {listed}) t(file)), needs as (select distinct a.file_path as f, b.file_path as t from edges e join nodes a on a.id = e.source_id join nodes b on b.id = e.target_id
+        where e.type in ('CALLS', 'IMPORTS', 'DEPENDS_ON') and a.file_path <> b.file_path and a.file_path in (select file from listed) and b.file_path in (select file from listed)), left0 as (select file from listed)"""
+    for k in range(len(files)):
+        out += f", layer{k} as (select file, {k} as layer from left{k} where file not in (select f from needs where t in (select file from left{k}))), left{k + 1} as (select file from left{k} where file not in (select file from layer{k}))"
+    return out + "".join(f" select * from layer{k} union all" for k in range(len(files))) + f" select file, -1 from left{len(files)}"
 
 
-@query(sql("select id, case when id in ('nation::1', 'nation::2') then 'removed' else 'changed' end as change from nodes where type = 'Package' and (id in ('nation::1', 'nation::2') or name like 'I%')"))
-def snapshot_diff(spark, d):
-    nodes = graph(spark, d).find_nodes("Package")
-    before = sets.baseline(nodes)
-    renamed = nodes.withColumn("structural", F.when(F.col("structural.name").like("I%"), F.col("structural").withField("name", F.lit("other"))).otherwise(F.col("structural")))
-    return sets.diff(before, sets.baseline(renamed.filter(~F.col("id").isin("nation::1", "nation::2"))))
+@query(sql(_layers(_PLANNED)))
+def dependency_layers(spark, d):
+    return explore.dependency_order(graph(spark, d), _PLANNED)
 
 
+# comparing graphs
 @query(sql("select id, case seq % 11 when 2 then 'removed' when 3 then 'changed' else 'added' end as change from nodes where seq % 11 in (2, 3, 4)"))
-def snapshot_diff_all(spark, d):
+def snapshot_diff(spark, d):
     nodes = graph(spark, d).nodes
     renamed = nodes.withColumn("structural", F.when(F.col("seq") % 11 == 3, F.col("structural").withField("name", F.lit("other"))).otherwise(F.col("structural")))
     return sets.diff(sets.baseline(nodes.filter("seq % 11 != 4")), sets.baseline(renamed.filter("seq % 11 != 2")))
@@ -312,14 +331,14 @@ def node_signature(spark, d):
     return sets.signatures(graph(spark, d).nodes)
 
 
-@query(sql("select id, true as ok from nodes where type = 'Package'"))
+@query(sql("select id, case seq % 7 when 0 then 'changed' when 1 then 'unsigned' else 'ok' end as state from nodes"))
 def integrity_check(spark, d):
-    return sets.check(_signed(graph(spark, d))).join(graph(spark, d).find_nodes("Package").select("id"), "id", "left_semi")
-
-
-@query(sql("select id, true as ok from nodes"))
-def integrity_check_all(spark, d):
-    return sets.check(_signed(graph(spark, d)))
+    """Every node against its kept signature, after the name of one in seven was changed and the signature of one in seven lost."""
+    nodes, seq = sets.baseline(graph(spark, d).nodes), F.col("seq")
+    changed = F.col("structural").withField("name", F.when(seq % 7 == 0, F.lit("tampered")).otherwise(F.col("structural.name")))
+    lost = F.col("semantic").withField("source_hash", F.when(seq % 7 == 1, F.lit("")).otherwise(F.col("semantic.source_hash")))
+    ok = sets.check(nodes.withColumn("structural", changed).withColumn("semantic", lost))
+    return ok.select("id", F.when(F.col("ok").isNull(), "unsigned").when(F.col("ok"), "ok").otherwise("changed").alias("state"))
 
 
 @query(sql("select 'orphan' as problem, source_id, target_id, type from edges where source_id in (select id from nodes where type = 'Repository') union all select 'dangling', source_id, target_id, type from edges where target_id in (select id from nodes where type = 'Repository')"))
@@ -339,11 +358,20 @@ _LINE = f"id || '=' || {_SIGNED}"
 
 @query(sql(f"select file_path as path, sha256(concat_ws(':', cast(count(*) as varchar), {_merkle_sum(_LINE, 1)}, {_merkle_sum(_LINE, 16)})) as hash, count(*) as nodes from nodes group by 1"))
 def merkle_files(spark, d):
-    g = graph(spark, d)
-    return sets.merkle(g.nodes).join(g.nodes.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi").filter("path LIKE '%.py' OR path LIKE 'repo/%' OR depth = 1 AND path = 'repo' AND nodes = 5").select("path", "hash", "nodes")
+    return sets.file_hashes(graph(spark, d).nodes)
 
 
-@query()
+def _merkle(deepest: int) -> str:
+    """Files, then the directories of each depth from the deepest up: a directory's hash is over what lies one below it, files and directories alike."""
+    combined = lambda text: f"sha256(concat_ws(':', cast(count(*) as varchar), {_merkle_sum(text, 1)}, {_merkle_sum(text, 16)}))"
+    out = f", t{deepest} as (select file_path as path, case when file_path = '' then 0 else len(string_split(file_path, '/')) end as depth, {combined(_LINE)} as hash, count(*) as nodes from nodes group by 1)"
+    above = "path || '=' || hash"
+    for k in range(deepest, 0, -1):
+        out += f", t{k - 1} as (select * from t{k} union all select regexp_replace(path, '/?[^/]*$', ''), {k - 1}, {combined(above)}, cast(sum(nodes) as bigint) from t{k} where depth = {k} group by 1)"
+    return out + " select path, depth, hash, nodes from t0"
+
+
+@query(sql(_merkle(3)))
 def merkle_tree(spark, d):
     return sets.merkle(graph(spark, d).nodes)
 
@@ -380,14 +408,33 @@ def community_boundaries(spark, d):
     return community.boundaries(g, community.components(g, _SMALL)).agg(F.count("*").alias("pairs"), F.sum("edge_count").alias("crossing"))
 
 
-@query()
+def _labels(rounds: int) -> str:
+    out = """, near as (select here, there, count(*) as w from (select source_id as here, target_id as there from edges where type in ('CONTAINS', 'DEFINES') union all select target_id, source_id from edges where type in ('CONTAINS', 'DEFINES')) where here <> there group by 1, 2),
+        p0 as (select id, id as community from nodes)"""
+    for k in range(rounds):
+        out += f""", v{k} as (select here, community, sum(w) as w from near join p{k} on id = there group by 1, 2), b{k} as (select here as id, min((-w, community)) as b from v{k} group by 1),
+            p{k + 1} as (select id, coalesce(b[2], community) as community from p{k} left join b{k} using (id))"""
+    return out
+
+
+@query(sql(_labels(3) + " select id, community from p3"))
 def label_propagation(spark, d):
-    return community.sizes(community.label_propagation(graph(spark, d), 3, ["CONTAINS", "DEFINES"]))
+    return community.label_propagation(graph(spark, d), 3, ["CONTAINS", "DEFINES"])
+
+
+def _ranks(rounds: int) -> str:
+    out = """, n as (select count(*)::double as n from nodes), known as (select source_id, target_id from edges where type in ('CALLS', 'IMPORTS') and source_id in (select id from nodes) and target_id in (select id from nodes)),
+        k as (select source_id, target_id, count(*) over (partition by source_id) as o from known), r0 as (select id, 1 / (select n from n) as rank from nodes)"""
+    for i in range(rounds):
+        out += f""", g{i} as (select k.target_id as id, sum(r.rank / k.o) as got from k join r{i} r on r.id = k.source_id group by 1),
+            i{i} as (select sum(rank) as idle from r{i} where id not in (select source_id from k)),
+            r{i + 1} as (select r.id, 0.15 / (select n from n) + 0.85 * coalesce((select idle from i{i}), 0) / (select n from n) + 0.85 * coalesce(got, 0) as rank from r{i} r left join g{i} using (id))"""
+    return out
 
 
-@query()
+@query(sql(_ranks(5) + " select id, round(rank, 11) as rank from r5"))
 def pagerank(spark, d):
-    return ranking.pagerank(graph(spark, d), ["CALLS", "IMPORTS"], 5)
+    return ranking.pagerank(graph(spark, d), ["CALLS", "IMPORTS"], 5).select("id", F.round("rank", 11).alias("rank"))
 
 
 @query(sql("select count(*) as n, 1.0 as total from nodes"))

@@ -258,14 +258,8 @@ def bulk_import_skipped(spark, d):
     return exchange.load(nodes, edges)[1]
 
 
-@query("select doc_id, crc as crc from (select doc_id, 0 as crc from documents) limit 0")
-def checksums_empty(spark, d):
-    log = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("payload")).limit(0)
-    return changelog.checksums(log).select(F.col("seq").alias("doc_id"), F.col("crc").cast("int").alias("crc"))
-
-
 @query()
-def checksums_all(spark, d):
+def checksums(spark, d):
     log = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("payload"))
     return changelog.checksums(log).select(F.col("seq").alias("doc_id"), "crc").distinct()
 

@@ -8,6 +8,8 @@ read again, nothing is recomputed from the start.
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,9 +21,15 @@ _OWN: set[tuple[int, str]] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; one of our own only where none is set."""
+    """The shared folder the session names.
+
+    Where none is set, one of our own, but only if executors run in this very
+    process (``local``): on a cluster they would not see it, so that is an error.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = tempfile.mkdtemp(prefix="graphlens-")
         spark.sparkContext.setCheckpointDir(given)
         given = spark.sparkContext.getCheckpointDir()
@@ -39,6 +47,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _filesystem(spark, path)
+    return fs.exists(where)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder, removed when Python ends."""
     path = f"{shared_dir(spark)}/graphlens/{name}-{uuid.uuid4().hex}"
@@ -95,7 +108,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
+    # copied to Spark's own file server, from where executors fetch it
     spark.sparkContext.addPyFile(str(target))
+    atexit.register(shutil.rmtree, target.parent, True)
     _SHIPPED.add(app)
 
 
