@@ -7,6 +7,8 @@ executor costs one level.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,8 @@ from graphlens.session import Staged, stage
 from graphlens.store import Graph
 
 _REACHED = "id string, level int, rank bigint, parent_rank bigint"
-
-
-def _first(graph: Graph, ids: list[str]) -> DataFrame:
-    return graph.spark.createDataFrame([(x, 0, k, -1) for k, x in enumerate(ids)], _REACHED)
+#: Steps of a level, and nodes of a walk, up to which the driver holds them.
+SMALL = 4096
 
 
 def _known_steps(graph: Graph, types: list[str] | None, direction: str, columns: tuple[str, ...]) -> DataFrame:
@@ -37,6 +37,27 @@ def _from(steps: DataFrame, frontier: DataFrame, most: int = 256) -> DataFrame:
     return frontier.join(near, "here")
 
 
+def _few_steps(steps: DataFrame, ids: list[str], columns: tuple[str, ...]) -> list | None:
+    """The distinct steps from a few nodes, on the driver; None if there are more than ``SMALL``."""
+    rows = steps.filter(F.col("here").isin(ids)).select(*columns).distinct().limit(SMALL + 1).collect()
+    return rows if len(rows) <= SMALL else None
+
+
+def _known(nodes: DataFrame, ids) -> set[str]:
+    ids = list(ids)
+    return {r.id for r in nodes.filter(F.col("id").isin(ids)).select("id").collect()} if ids else set()
+
+
+def _cut(children: list[tuple[int, int]], total: int, max_nodes: int | None) -> tuple[int, int]:
+    """(nodes kept, last parent expanded) of (parent rank, children) in order: a parent is expanded while fewer than ``max_nodes`` nodes are there."""
+    n, last = 0, -1
+    for parent, count in sorted(children):
+        if max_nodes is not None and total + n >= max_nodes:
+            break
+        n, last = n + count, parent
+    return n, last
+
+
 def traverse(graph: Graph, start: str, types: list[str] | None = None, depth: int = 3, max_nodes: int | None = 100, direction: str = "outgoing") -> DataFrame:
     """(id, level, rank, parent_rank) in breadth-first order, the start node first.
 
@@ -46,18 +67,40 @@ def traverse(graph: Graph, start: str, types: list[str] | None = None, depth: in
     last expansion may overshoot it: a node is kept if fewer than ``max_nodes``
     nodes were there before its parent was expanded.
 
-    With a cap a level has fewer than ``max_nodes`` nodes to expand, so their
-    numbers of children fit on the driver, which finds the parent that passes
-    the cap; what later parents reach is dropped before anything is ordered.
+    Levels of at most ``SMALL`` steps are worked out on the driver, from reads
+    that name the nodes in question. From the first larger one on all is done
+    in tables, with the same result. With a cap a level has fewer than
+    ``max_nodes`` nodes to expand, so their numbers of children fit on the
+    driver, which finds the parent that passes the cap; what later parents
+    reach is dropped before anything is ordered.
     """
     known = graph.nodes.select(F.col("id").alias("there"))
     begin = graph.nodes.filter(F.col("id") == start).select("id").limit(1).collect()
     if not begin:
         return graph.spark.createDataFrame([], _REACHED)
     steps = _known_steps(graph, types, "incoming" if direction == "incoming" else "outgoing", ("here", "there", "seq"))
-    levels = [Staged(_first(graph, [start]), "bfs")]
-    total = 1
-    for level in range(1, depth + 1):
+    rows, ranks = [(start, 0, 0, -1)], {start: 0}
+    total, level = 1, 0
+    while level < depth and ranks and (max_nodes is None or total < max_nodes):
+        near = _few_steps(steps, list(ranks), ("here", "there", "seq"))
+        if near is None or len(rows) > SMALL:
+            break
+        level, seen, best = level + 1, {r[0] for r in rows}, {}
+        for r in near:
+            if r.there not in seen:
+                best[r.there] = min(best.get(r.there, (ranks[r.here], r.seq)), (ranks[r.here], r.seq))
+        there = _known(graph.nodes, best)
+        children = Counter(best[x][0] for x in there)
+        n, last = _cut(list(children.items()), total, max_nodes)
+        new = sorted((*best[x], x) for x in there if best[x][0] <= last)
+        ranks = {x: total + k for k, (_, _, x) in enumerate(new)}
+        rows += [(x, level, ranks[x], parent) for parent, _, x in new]
+        total += n
+    begun = graph.spark.createDataFrame(rows, _REACHED)
+    if level >= depth or not ranks or (max_nodes is not None and total >= max_nodes):
+        return begun
+    levels = [Staged(begun.filter(F.col("level") < level), "bfs"), Staged(begun.filter(F.col("level") == level), "bfs")]
+    for level in range(level + 1, depth + 1):
         if max_nodes is not None and total >= max_nodes:
             break
         frontier = levels[-1].df.select(F.col("id").alias("here"), F.col("rank").alias("parent_rank"))
@@ -71,11 +114,7 @@ def traverse(graph: Graph, start: str, types: list[str] | None = None, depth: in
             n = new.df.count()
             nxt = Staged(new.df.select("id", "level", F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("parent_rank")), "bfs")
         else:
-            n, last = 0, -1
-            for parent, children in sorted(tuple(r) for r in new.df.groupBy("parent_rank").agg(F.count("*")).collect()):
-                if total + n >= max_nodes:
-                    break
-                n, last = n + children, parent
+            n, last = _cut([tuple(r) for r in new.df.groupBy("parent_rank").agg(F.count("*")).collect()], total, max_nodes)
             nxt = Staged(numbered(new.df.filter(F.col("parent_rank") <= last), ["parent_rank", "seq", "id"], "rank", total).select("id", "level", "rank", "parent_rank"), "bfs")
         new.drop()
         if not n:
@@ -130,13 +169,27 @@ def impact_files(affected: DataFrame) -> DataFrame:
 def reachable(graph: Graph, starts: DataFrame, types: list[str] | None, direction: str = "outgoing", merge: int = 8) -> DataFrame:
     """(id) of nodes at one step or more from any start; a start is among them only if a path leads back to one.
 
-    As many rounds as the longest shortest path. A round joins the last level
-    with the steps; what was seen before is kept in few tables: every
-    ``merge`` levels they are written as one and the old ones freed.
+    As many rounds as the longest shortest path. Small rounds are worked out
+    on the driver as in ``traverse``. A larger one joins the last level with
+    the steps; what was seen before is kept in few tables: every ``merge``
+    levels they are written as one and the old ones freed.
     """
     known = graph.nodes.select(F.col("id").alias("there"))
     steps = _known_steps(graph, types, direction, ("here", "there"))
-    frontier, seen = Staged(starts.select("id").distinct(), "frontier"), []
+    begin = starts.select("id").distinct().filter("id IS NOT NULL")
+    few = [r.id for r in begin.limit(SMALL + 1).collect()]
+    got: set[str] = set()
+    while few and len(few) <= SMALL and len(got) <= SMALL:
+        near = _few_steps(steps, few, ("there",))
+        if near is None:
+            break
+        few = list(_known(graph.nodes, {r.there for r in near} - got))
+        got |= set(few)
+    one = lambda ids: graph.spark.createDataFrame([(x,) for x in sorted(ids)], "id string")
+    if not few:
+        return one(got)
+    frontier = Staged(one(few) if got else begin, "frontier")
+    seen = [Staged(one(got), "seen")] if got else []
     while True:
         new = _from(steps, frontier.df.withColumnRenamed("id", "here")).select(F.col("there").alias("id")).distinct().join(known.withColumnRenamed("there", "id"), "id", "left_semi")
         for x in seen:
@@ -144,7 +197,7 @@ def reachable(graph: Graph, starts: DataFrame, types: list[str] | None, directio
         nxt = Staged(new, "frontier")
         if nxt.df.isEmpty():
             break
-        if not seen:
+        if frontier not in seen:
             frontier.drop()
         seen.append(nxt)
         frontier = nxt
@@ -194,9 +247,24 @@ def flow(graph: Graph, start: str, end: str, flow_type: str = "data", max_edges:
 def _shortest(graph: Graph, start: str, end: str, types: list[str], max_edges: int) -> list[str] | None:
     """Forward levels until the end is met, then back along them: each node keeps the least path that leads to it."""
     steps = _known_steps(graph, types, "outgoing", ("here", "there"))
-    frontier = Staged(graph.spark.createDataFrame([(start, [start])], "id string, path array<string>"), "flow")
-    seen = frontier.df.select("id")
-    for _ in range(max_edges):
+    paths, met, done = {start: [start]}, {start}, 0
+    while done < max_edges and paths and len(met) <= SMALL:
+        near = _few_steps(steps, list(paths), ("here", "there"))
+        if near is None:
+            break
+        new: dict[str, list[str]] = {}
+        for r in near:
+            if r.there is not None and r.there not in met:
+                new[r.there] = min(new.get(r.there, paths[r.here]), paths[r.here])
+        done, paths = done + 1, {x: [*way, x] for x, way in new.items()}
+        met |= set(paths)
+        if end in paths:
+            return paths[end]
+    if done == max_edges or not paths:
+        return None
+    frontier = Staged(graph.spark.createDataFrame(list(paths.items()), "id string, path array<string>"), "flow")
+    seen = graph.spark.createDataFrame([(x,) for x in sorted(met)], "id string")
+    for _ in range(max_edges - done):
         new = _from(steps, frontier.df.withColumnRenamed("id", "here")).groupBy("there").agg(F.min("path").alias("path"))
         new = new.join(seen.withColumnRenamed("id", "there"), "there", "left_anti").select(F.col("there").alias("id"), F.concat("path", F.array("there")).alias("path"))
         frontier = Staged(new, "flow")

@@ -67,8 +67,9 @@ def walk_model(nodes, edges, start, depth, cap):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_capped_walk(spark, seed):
+@pytest.mark.parametrize("seed,small", [(0, 4096), (1, 4096), (2, 2), (3, 2), (4, 0)])
+def test_capped_walk(spark, seed, small, monkeypatch):
+    monkeypatch.setattr(traverse, "SMALL", small)
     r = random.Random(seed)
     names = [f"n{k}" for k in range(12)]
     edges = [(r.choice(names), r.choice([*names, "dangling"])) for _ in range(30)]
@@ -79,6 +80,27 @@ def test_capped_walk(spark, seed):
     assert traverse.traverse(g, "unknown").count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 3, 4096])
+def test_walks_of_any_size(spark, small, monkeypatch):
+    monkeypatch.setattr(traverse, "SMALL", small)
+    r = random.Random(small)
+    names = [f"n{k}" for k in range(14)]
+    edges = sorted({(r.choice(names), r.choice(names)) for _ in range(18)})
+    g = Graph.from_flat(spark.createDataFrame([(n, k) for k, n in enumerate(names)], "id string, seq long"), spark.createDataFrame([(a, b, "CALLS", k) for k, (a, b) in enumerate(edges)], "source_id string, target_id string, type string, seq long"))
+    seen, new = set(), {"n0"}
+    while new:
+        new = {b for a, b in edges if a in new} - seen
+        seen |= new
+    assert {x.id for x in traverse.reachable(g, g.get_node("n0"), ["CALLS"], merge=2).collect()} == seen
+    ways = {"n0": ["n0"]}
+    level = dict(ways)
+    while level:
+        level = {b: min([*level[a], b] for a, c in edges if c == b and a in level) for b in {b for a, b in edges if a in level} - set(ways)}
+        ways |= level
+    for end in names[:5]:
+        assert traverse.dependency_chain(g, "n0", end, 14) == (ways.get(end) if end != "n0" else None)
+
+
 def test_entities(graph):
     assert graph.resolve("src/api/handler.py") == "handler" and graph.resolve("valid") == "validate" and graph.resolve("zzz") is None
     assert graph.resolve_target("src/auth/login.py:fn:log") == "log" and graph.resolve_target("fn:handler") == "handler"
