@@ -2,11 +2,12 @@
 
 Method: attribute files of repositories mark paths as generated or vendored;
 their globs are resolved per directory, the deepest directory first and in it
-the last matching line. Repositories without such files get equivalent
-patterns: path patterns are mined whose files show by their content where they
-come from, and applied to all files that nothing was declared about. What a
-file's content shows by itself (a generator's header, the shape of its lines,
-a published file it equals but for small changes) decides as well.
+the last matching line. Equivalent patterns are mined, from the files of
+declared repositories by what was declared, from the others by what their
+content shows, and applied to all repositories without attribute files. Files
+that no declaration and no pattern reaches are judged by their content alone
+(a generator's header, the shape of its lines, a published file it equals but
+for small changes).
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from __future__ import annotations
 import io
 import re
 from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.operators.skew import join_unique
 from graphlens.session import stage
 
 #: A mined pattern needs this many files that show evidence, and this share of all files it matches.
@@ -26,8 +29,8 @@ SUPPORT, PRECISION = 3, 0.95
 MADE, LEAST = 0.6, 300
 #: Minified code has at most this share of white space, and lines this long.
 DENSE, LONG_LINE = 0.09, 250
-#: Word shingles of candidates for copies, and the edit similarity that makes one.
-WORDS, SIMILAR = 5, 0.8
+#: The share of words in the same order that makes a copy.
+SIMILAR = 0.8
 
 # How generators and copies announce themselves at the top of a file.
 GENERATED = re.compile(
@@ -71,43 +74,44 @@ def words_of(text: str) -> list[str]:
     return _COMMENT_LINE.sub("", text).split()
 
 
-def shingles(words: list[str]) -> set[tuple]:
-    if len(words) < WORDS:
-        return {tuple(words)} if words else set()
-    return set(zip(words, words[1:], words[2:], words[3:], words[4:]))
-
-
 class Published:
-    """The files of third parties: a table of fixed size, held as an index from shingle to file."""
+    """The files of third parties: a table of fixed size, held as word counts and as words in order."""
 
     MOST = 50_000_000
 
     def __init__(self, texts: list[str]):
+        import numpy as np
+
         if sum(map(len, texts)) > self.MOST:
             raise ValueError("the table of published files is larger than may be sent to every worker")
-        self.words = [words_of(t) for t in texts]
-        self.index: dict[tuple, list[int]] = {}
-        for n, w in enumerate(self.words):
-            for s in shingles(w):
-                self.index.setdefault(s, []).append(n)
-        self.keys = set(self.index)
+        self.words = [w for w in map(words_of, texts) if w]
+        self.ids = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
+        self.counts = np.zeros((len(self.words), len(self.ids)), np.int32)
+        for row, ws in zip(self.counts, self.words):
+            for w, k in Counter(ws).items():
+                row[self.ids[w]] = k
+        self.sizes = np.array([len(w) for w in self.words])
 
     def is_copy(self, text: str) -> bool:
+        """Whether the words of any published file are those of the text, in order, to ``SIMILAR`` or more.
+
+        A word in order is a word in common, so files whose words in common
+        are too few cannot be similar; every other one is compared exactly.
+        """
         from difflib import SequenceMatcher
 
+        import numpy as np
+
         words = words_of(text)
-        met = shingles(words) & self.keys
-        if not met:
+        if not words or not self.words:
+            return False
+        known = [(self.ids[w], k) for w, k in Counter(words).items() if w in self.ids]
+        if not known:
             return False
-        shared = Counter(n for s in met for n in self.index[s])
-        for n, k in shared.most_common(3):
-            a, b = self.words[n], words
-            # at least a tenth of the shingles: fewer cannot leave 0.8 of the words in order
-            if k < 0.1 * max(len(a), len(b)) or min(len(a), len(b)) < SIMILAR / (2 - SIMILAR) * max(len(a), len(b)):
-                continue
-            if SequenceMatcher(None, a, b, autojunk=False).ratio() >= SIMILAR:
-                return True
-        return False
+        at, k = np.array(known).T
+        common = np.minimum(self.counts[:, at], k).sum(axis=1)
+        near = np.flatnonzero(2 * common >= SIMILAR * (self.sizes + len(words)))
+        return any(SequenceMatcher(None, self.words[n], words, autojunk=False).ratio() >= SIMILAR for n in near[np.argsort(-common[near], kind="stable")])
 
 
 def shape(text: str) -> str:
@@ -215,27 +219,56 @@ def parse_attributes(path: str, text: str | None) -> list[tuple[str, int, str, s
     return out
 
 
+def rules_of(attributes: DataFrame) -> DataFrame:
+    """(directory, rules): one row for every directory with an attribute file that marks something; rules (line, regex, reason, on)."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("regex", pa.string()), ("reason", pa.string()), ("on", pa.bool_())]))
+
+    def read(batches):
+        for batch in batches:
+            found = [(p.rpartition("/")[0], parse_attributes(p, t)) for p, t in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [(d, [{"line": n, "regex": x, "reason": why, "on": on} for _, n, x, why, on in marks]) for d, marks in found if marks]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.string()), pa.array([m for _, m in rows], kind)], names=["directory", "rules"])
+
+    rows = attributes.filter("file_path IS NOT NULL").select("file_path", "text").mapInArrow(read, "directory string, rules array<struct<line:int,regex:string,reason:string,on:boolean>>")
+    # a file delivered twice, or in several versions: the greatest
+    return rows.groupBy("directory").agg(F.max("rules").alias("rules"))
+
+
 def declared(files: DataFrame, attributes: DataFrame) -> DataFrame:
     """(file_path, declared): the reason an attribute file gives for a path, or '' where it denies one.
 
     ``attributes``: (file_path, text) of attribute files. A rule only meets
-    files below its directory: both sides are joined on the directory. For
-    each attribute the deepest directory decides, in it the last line. Files
+    files below its directory: paths are joined with the directories above
+    them, of which each is one row however many rules it has. For each
+    attribute the deepest directory decides, in it the last line. Files
     without a matching rule are left out.
     """
+    import pyarrow as pa
 
-    @F.udf("array<struct<directory:string,line:int,regex:string,reason:string,on:boolean>>")
-    def rules(path, text):
-        return parse_attributes(path, text)
-
-    rule = attributes.filter("file_path IS NOT NULL").select(F.explode(rules("file_path", "text")).alias("r")).select("r.*")
+    rules = stage(rules_of(attributes), "rules")
     parts = F.split("file_path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    paths = files.select("file_path").filter("file_path IS NOT NULL").distinct().select("file_path", F.explode(above).alias("directory"))
-    hit = paths.join(rule, "directory").filter(F.expr("file_path rlike regex"))
-    depth = F.when(F.col("directory") == "", 0).otherwise(F.size(F.split("directory", "/")))
-    last = hit.groupBy("file_path", "reason").agg(F.max(F.struct(depth.alias("depth"), "line", "on")).alias("m"))
-    return last.groupBy("file_path").agg(F.coalesce(F.min(F.when(F.col("m.on"), F.col("reason"))), F.lit("")).alias("declared"))
+    paths = stage(files.select("file_path").filter("file_path IS NOT NULL").distinct().select("file_path", F.explode(above).alias("directory")), "paths")
+
+    def match(batches):
+        compiled = lru_cache(maxsize=None)(re.compile)  # as many as there are rules
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for path, directory, marks in zip(*(c.to_pylist() for c in batch.columns)):
+                last: dict[str, tuple[int, bool]] = {}
+                for m in marks:
+                    if compiled(m["regex"]).search(path):
+                        last[m["reason"]] = max(last.get(m["reason"], (-1, False)), (m["line"], m["on"]))
+                for reason, (_, on) in last.items():
+                    for column, x in zip(out, (path, 0 if not directory else directory.count("/") + 1, reason, on)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int32(), pa.string(), pa.bool_()))], names=["file_path", "depth", "reason", "on"])
+
+    met = join_unique(paths, rules, "directory").select("file_path", "directory", "rules").mapInArrow(match, "file_path string, depth int, reason string, on boolean")
+    last = met.groupBy("file_path", "reason").agg(F.max_by("on", "depth").alias("on"))
+    return last.groupBy("file_path").agg(F.coalesce(F.min(F.when(F.col("on"), F.col("reason"))), F.lit("")).alias("declared"))
 
 
 def _patterns(path):
@@ -248,12 +281,28 @@ def _patterns(path):
     return F.array_distinct(F.concat(directories, F.transform(ends, lambda x: F.concat(F.lit("*"), x))))
 
 
+def mine(shown: DataFrame) -> DataFrame:
+    """(pattern, usual, n): globs whose files are nearly all known not to be written by hand, with the usual reason.
+
+    ``shown``: (file_path, reason, undeclared), reason '' where a file shows
+    nothing. A glob is a directory's name or a mark in a file's name, at any
+    depth. Files of declaring repositories and all others are counted apart:
+    it is enough that a glob holds for one of the two.
+    """
+    matched = shown.select("reason", "undeclared", F.explode(_patterns(F.col("file_path"))).alias("pattern"))
+    shown_by = F.sum((F.col("reason") != "").cast("int"))
+    mined = matched.groupBy("pattern", "undeclared").agg(F.count("*").alias("n"), shown_by.alias("shown"), F.mode(F.when(F.col("reason") != "", F.col("reason")), True).alias("usual"))
+    good = mined.filter((F.col("shown") >= SUPPORT) & (F.col("shown") >= PRECISION * F.col("n")))
+    return good.groupBy("pattern").agg(F.min_by("usual", "undeclared").alias("usual"), F.sum("n").alias("n"))
+
+
 def classify(docs: DataFrame, published: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
     """(file_path, reason, by) of every file not written by hand; reason: generated, minified, vendored or data.
 
-    ``by`` is declared, content or pattern. A declaration wins over all else,
-    in both directions. Rows with a null path are left out; repeated paths
-    count once, with the greatest reason.
+    ``by`` is declared, pattern or content, the first that applies. In a
+    repository with attribute files a declaration wins over the content, in
+    both directions, and mined patterns are not applied. Rows with a null path
+    are left out; repeated paths count once, with the greatest reason.
     """
     spark = docs.sparkSession
     size = published.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -263,20 +312,21 @@ def classify(docs: DataFrame, published: DataFrame, attributes: DataFrame | None
     shared = spark.sparkContext.broadcast(texts)
 
     seen = _with_evidence(docs, shared)
-    seen = stage(seen.groupBy("file_path").agg(F.max("reason").alias("reason")), "evidence")
-    # mining: patterns are names of directories and marks in file names, each with the files it matches
-    matched = seen.select("file_path", "reason", F.explode(_patterns(F.col("file_path"))).alias("pattern"))
-    shown_by = F.sum((F.col("reason") != "").cast("int"))
-    mined = matched.groupBy("pattern").agg(F.count("*").alias("n"), shown_by.alias("shown"), F.mode(F.when(F.col("reason") != "", F.col("reason")), True).alias("usual"))
-    mined = mined.filter((F.col("shown") >= SUPPORT) & (F.col("shown") >= PRECISION * F.col("n")))
-    bare = matched.filter("reason = ''").join(mined.select("pattern", "usual", "n"), "pattern")
-    by_pattern = bare.groupBy("file_path").agg(F.max_by("usual", F.struct("n", "pattern")).alias("reason")).withColumn("by", F.lit("pattern"))
-    out = seen.filter("reason <> ''").withColumn("by", F.lit("content")).unionByName(by_pattern)
-    if attributes is None:
-        return out
-    said = declared(docs, attributes)
-    kept = out.join(said, "file_path", "left_anti")
-    return kept.unionByName(said.filter("declared <> ''").select("file_path", F.col("declared").alias("reason"), F.lit("declared").alias("by")))
+    seen = stage(seen.groupBy("file_path").agg(F.max("reason").alias("reason")).withColumn("said", F.lit(None).cast("string")).withColumn("undeclared", F.lit(True)), "evidence")
+    if attributes is not None and not attributes.isEmpty():
+        said = declared(seen, attributes).withColumnRenamed("declared", "said")
+        repository = F.regexp_extract("file_path", r"^([^/]*)", 1)
+        with_files = stage(attributes.filter("file_path IS NOT NULL").select(repository.alias("repository")).distinct().withColumn("undeclared", F.lit(False)), "declaring")
+        known = stage(seen.select("file_path", "reason", repository.alias("repository")).join(said, "file_path", "left"), "said")
+        seen = stage(join_unique(known, with_files, "repository", "left").select("file_path", "reason", "said", F.coalesce("undeclared", F.lit(True)).alias("undeclared")), "known")
+    mined = stage(mine(seen.select("file_path", F.coalesce("said", "reason").alias("reason"), "undeclared")), "mined")
+    open_ = stage(seen.filter("undeclared").select("file_path", F.explode(_patterns(F.col("file_path"))).alias("pattern")), "patterns")
+    by_pattern = join_unique(open_, mined, "pattern").groupBy("file_path").agg(F.max_by("usual", F.struct("n", "pattern")).alias("usual"))
+    rows = seen.join(by_pattern, "file_path", "left")
+    by = F.when(F.col("said").isNotNull(), "declared").when(F.col("usual").isNotNull(), "pattern").otherwise("content")
+    # what the content shows tells more of a file than what is usual for its pattern
+    reason = F.coalesce("said", F.when(F.col("reason") != "", F.col("reason")), "usual", "reason")
+    return rows.select("file_path", reason.alias("reason"), by.alias("by")).filter("reason <> ''")
 
 
 def _with_evidence(docs: DataFrame, shared) -> DataFrame:

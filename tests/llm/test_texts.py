@@ -114,6 +114,36 @@ def test_attribute_globs(spark):
     assert out == {"r/gen/a.py": "declared", "r/src/b.pb.go": "declared", "r/third/x.js": "declared"}
 
 
+def test_patterns_of_declared_repositories(spark):
+    """Nested attribute files of three repositories; a fourth has none and gets what they have in common."""
+    declaring = [f"{r}/{p}" for r in ("a", "b", "c") for p in ("out/x.py", "out/deep/y.js", "src/z.gen.go", "src/hand.py", "lib/keep/q.py", "lib/w.py")]
+    plain = ["d/deep/out/m.py", "d/n.gen.go", "d/src/hand.py", "d/lib/v.py", "d/lib/keep/u.py"]
+    files = spark.createDataFrame([(p, "x = 1\n") for p in declaring + plain], "file_path string, text string")
+    attributes = spark.createDataFrame([x for r in ("a", "b", "c") for x in ((f"{r}/.gitattributes", "out/** linguist-generated\n*.gen.go linguist-generated\nlib/** linguist-vendored"), (f"{r}/lib/keep/.gitattributes", "* -linguist-vendored"))] * 2, "file_path string, text string")
+    got = {r.file_path: (r.reason, r.by) for r in provenance.classify(files, spark.createDataFrame([], "text string"), attributes).collect()}
+    want = {f"{r}/{p}": (why, "declared") for r in ("a", "b", "c") for p, why in (("out/x.py", "generated"), ("out/deep/y.js", "generated"), ("src/z.gen.go", "generated"), ("lib/w.py", "vendored"))}
+    # lib is vendored in half of its files only, so it is no pattern
+    assert got == want | {"d/deep/out/m.py": ("generated", "pattern"), "d/n.gen.go": ("generated", "pattern")}
+
+
+def test_copies_against_all_pairs():
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    files = [[r.choice(words) for _ in range(r.randint(20, 120))] for _ in range(12)]
+    known = provenance.Published([" ".join(f) for f in files])
+    for _ in range(150):
+        base = r.choice(files)
+        rate = r.choice([0, 0.1, 0.19, 0.2, 0.21, 0.3, 0.6])
+        other = [r.choice(words) if r.random() < rate else w for w in base] + [r.choice(words)] * r.randint(0, 9)
+        want = any(SequenceMatcher(None, f, other, autojunk=False).ratio() >= 0.8 for f in files)
+        assert known.is_copy(" ".join(other)) == want
+    fifth = [w if k % 5 else f"new{k}" for k, w in enumerate(files[0][:100])]
+    assert known.is_copy(" ".join(fifth)) == (SequenceMatcher(None, files[0], fifth, autojunk=False).ratio() >= 0.8)
+
+
 def test_content_evidence(spark):
     upstream = "\n".join(f"def f{k}(a):\n    # note {k}\n    return g{k}(a, {k})" for k in range(20))
     known = provenance.Published([upstream])
@@ -134,7 +164,7 @@ def test_mined_patterns(spark):
     marked = [(f"r{k}/vendor/x{k}.py", "# Code generated by t. DO NOT EDIT.\nx = 1") for k in range(30)]
     df = spark.createDataFrame([*marked, ("q/vendor/plain.py", "x = 1\n"), ("q/src/plain.py", "x = 1\n"), ("q/src/plain.py", "x = 1\n")], "file_path string, text string")
     out = {r.file_path: (r.reason, r.by) for r in provenance.classify(df, spark.createDataFrame([("t",)], "text string")).collect()}
-    assert len(out) == 31 and out["q/vendor/plain.py"] == ("generated", "pattern") and "q/src/plain.py" not in out
+    assert len(out) == 31 and {by for _, by in out.values()} == {"pattern"} and out["q/vendor/plain.py"] == ("generated", "pattern") and "q/src/plain.py" not in out
     assert provenance.classify(df.limit(0), spark.createDataFrame([], "text string")).count() == 0
 
 
