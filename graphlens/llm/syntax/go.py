@@ -470,9 +470,7 @@ class Go(Parser):
             self.type()
             if t[self.i] == "{":
                 self.literal()
-            elif t[self.i] == NUM:  # a folded literal
-                self.i += 1
-            elif t[self.i] not in ("(", ")", ","):
+            elif t[self.i] not in ("(", ")", ",", "]", "..."):  # a type alone is an argument
                 self.fail()
         else:
             self.fail()
@@ -493,28 +491,19 @@ class Go(Parser):
                 self.i += 1
                 keep, self.no_literal = self.no_literal, False
                 if t[self.i] != ":":
-                    self.type_or_expression()
+                    self.expression()
                 while t[self.i] in (":", ","):
                     self.i += 1
                     if t[self.i] not in (":", "]"):
-                        self.type_or_expression()
+                        self.expression()
                 self.no_literal = keep
                 self.expect("]")
             elif x == "{" and literal:
                 self.literal()
                 literal = False
-            elif x == NUM and literal and t[self.i - 1] == NAME:  # a folded literal behind its type
-                self.i += 1
-                literal = False
             else:
                 return
 
-    def type_or_expression(self) -> None:
-        if self.t[self.i] in ("map", "chan", "func", "struct", "interface") or (self.t[self.i] == "[" and self.t[self.i + 1] == "]"):
-            self.type()
-        else:
-            self.expression()
-
     def literal(self) -> None:
         keep, self.no_literal = self.no_literal, False
         self.expect("{")
@@ -536,7 +525,7 @@ class Go(Parser):
         keep, self.no_literal = self.no_literal, False
         self.expect("(")
         while not self.take(")"):
-            self.type_or_expression()
+            self.expression()
             self.take("...")
             if self.t[self.i] != ")":
                 self.expect(",")

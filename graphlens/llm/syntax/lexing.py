@@ -59,11 +59,14 @@ class Rules:
         self.names = re.compile(rf"(?<![\w{extra}])(?!(?:{'|'.join(words)})(?![\w{extra}]))(?:[^\W\d]|[{extra}_])[\w{extra}]*")
         self.numbers = re.compile(rf"(?<![\w{extra}]){_NUMBERS[lang]}")
         self.tokens = re.compile(rf"{_OPERATORS[lang]}|[\w{extra}]+|\S")
-        one = rf"[-+]?(?:{NUM}|{STR})"
-        self.list = re.compile(rf"\[\s*{one}(?:\s*,\s*{one})*\s*,?\s*\]" if lang in ("python", "javascript", "rust") else rf"\{{\s*{one}(?:\s*,\s*{one})*\s*,?\s*\}}")
+        # Literal data is as valid long as short. A list is one only behind what an expression must follow, as
+        # behind a name, a literal or a closing bracket it is a subscript, and before ':' or '(' it is a key.
+        one, behind = rf"[-+]?(?:{NUM}|{STR})", r"(?=\s*[,\])}])"
+        self.run = re.compile(rf"(?<=[\[({{,])(\s*){one}(?:\s*,\s*{one}){{3,}}{behind}")
+        listed = rf"(?<=[=(\[,:])(\s*)\[\s*{one}(?:\s*,\s*{one})*\s*,?\s*\](?=\s*[,\])}};]|\s*\n)"
+        self.list = re.compile(listed) if lang in ("python", "javascript", "rust") else None
         pair = rf"{STR}\s*:\s*{one}"
-        self.dict = re.compile(rf"(?<=[\[,(=:])(\s*)\{{\s*{pair}(?:\s*,\s*{pair})*\s*,?\s*\}}") if lang in ("python", "javascript") else None
-        self.run = re.compile(rf"(?<=[\[({{,])(\s*){one}(?:\s*,\s*{one}){{3,}}")
+        self.dict = re.compile(rf'(?:(?<=[\[,(=])|(?<=":))(\s*)\{{\s*{pair}(?:\s*,\s*{pair})*\s*,?\s*\}}{behind}') if lang in ("python", "javascript") else None
 
 
 _RULES: dict[str, Rules] = {}
@@ -173,13 +176,13 @@ def shapes(text: str, lang: str) -> tuple[list[str], list[tuple[int, str]], list
     code, faults, inner = strip(text, lang)
     r = rules(lang)
     code = r.numbers.sub(NUM, r.names.sub(NAME, code))
-    if len(code) > 2000 and "," in code:
+    if "," in code:
         code = r.run.sub(rf"\g<1>{NUM},{NUM}", code)
         for _ in range(3):
             before = len(code)
-            code = r.list.sub(f" {NUM} ", code)
-            if r.dict:
-                code = r.dict.sub(rf"\g<1> {NUM} ", code)
+            for literal in (r.list, r.dict):
+                if literal:
+                    code = literal.sub(rf"\g<1>{NUM}", code)
             code = r.run.sub(rf"\g<1>{NUM},{NUM}", code)
             if len(code) == before:
                 break

@@ -28,6 +28,49 @@ BAD = {
 }
 
 
+SUBSCRIPTS = {
+    "py": ["y = x[0]", "y = x[-1], d['k'], d['k', 1]", "for i in x[0]: pass", "z = f()[0][1], [1, 2][0], 'ab'[1]", "x[0], y['a'] = [1, 2], {'a': 1, 'b': [2]}", "print('a', 'b', 'c', 'd' 'e', 'f'.join(x))", "w = {'a': {'b': 1}, 'c': [1, 2]}['c'][0]", "[1, 2]\n[0]", "if x == [1, 2]: y = x[0]\nreturn_ = lambda: [0]"],
+    "js": ["y = x[0], d['k'];", "for (const i of x[0]) ;", "z = f()[0][1], [1, 2][0], 'ab'[1], a?.[0]", "function g() { return a[0]; }", "o = { ['a']: 1, ['b']() {}, c: [1, 2] }", "x\n[0]", "f('a', 'b', 'c', 'd'.trim(), `e`)", "w = b ? [0] : c[1]"],
+    "ts": ["let y: number = x![0]; let t: [1, 'a'] = [1, 'a'];", "const z = (f() as any)[0]; let q: string[] = d['k']; type R = Q['k'][0];"],
+    "java": ["class A { int y = x[0]; int[] a = {1, 2, 3, 4, 5}, b = new int[]{1}; int f() { return a[0] + b[1]; } int[][] c = {{1, 2}, {3}}; }"],
+    "go": ["package a\n\nvar y = x[0]\nvar z = []int{1, 2, 3, 4, 5}[0]\nvar m = map[string]int{\"a\": 1, \"b\": 2}[\"a\"]\n\nfunc f() int {\n\tfor i := range x[0] {\n\t}\n\treturn a[0]\n}\n"],
+    "rs": ["fn f() -> u8 { let y = x[0]; for i in x[0] { } g(a?[0], [1, 2][0]); vec![1, 2, 3, 4, 5][0] }", "fn g() -> u8 { a[0] }\nconst B: [u8; 2] = [1, 2];"],
+}
+for _ext, _texts in SUBSCRIPTS.items():
+    GOOD[_ext] = GOOD[_ext] + _texts
+BAD["py"] += ["x[0 = 1", "y = [1, 2", "y = [1, 2]]", "y = [1 2]", "y = {'a': 1, 'b'}", "f(1, 2, 3, 4 5)", "[1, 2] = x"]
+BAD["js"] += ["y = [1, 2", "x[0 = 1", "f(1, 2, 3, 4 5)", "o = { 'a': 1, 'b' }", "o = { [1, 2]: 3 }"]
+BAD["go"] += ["package a\nvar z = []int{1, 2, 3, 4 5}\n"]
+BAD["java"] += ["class A { int[] a = {1, 2, 3, 4 5}; }"]
+BAD["rs"] += ["fn f() { g([1, 2, 3, 4 5]); }"]
+
+FILLER = {
+    "py": "FILL = f(1, 2, [3, 4], {'a': 5, 'b': (6, 7)}), g[0]\n",
+    "js": "f(1, 2, [3, 4], { 'a': 5, b: 6 }, g[0]);\n",
+    "ts": "f(1, 2, [3, 4], { 'a': 5, b: 6 }, g[0]);\n",
+    "tsx": "f(1, 2, [3, 4], { 'a': 5, b: 6 }, g[0]);\n",
+    "java": "class F { int[] a = {1, 2, 3, 4}; int b = f(1, 2, a[0]); }\n",
+    "go": "var _ = f(1, 2, []int{3, 4, 5, 6}, g[0])\n",
+    "rs": "const F: u8 = f(1, 2, [3, 4], g[0]);\n",
+}
+
+
+def among_much_code(ext: str, text: str) -> str:
+    """A sample with over 5,000 characters of code, before it where the language lets it, else behind."""
+    much = FILLER[ext] * (5000 // len(FILLER[ext]) + 1)
+    return much + text if ext in ("py", "js", "ts", "tsx") else f"{text}\n{much}"
+
+
+@pytest.mark.parametrize("ext,text", [(e, t) for e, ts in GOOD.items() for t in ts if not t.startswith("\ufeff") and (e != "go" or t)])
+def test_valid_among_much_code(ext, text):
+    assert errors(among_much_code(ext, text), ext) == []
+
+
+@pytest.mark.parametrize("ext,text", [(e, t) for e, ts in BAD.items() for t in ts])
+def test_invalid_among_much_code(ext, text):
+    assert errors(among_much_code(ext, text), ext) != []
+
+
 @pytest.mark.parametrize("ext,text", [(e, t) for e, ts in GOOD.items() for t in ts])
 def test_valid(ext, text):
     assert errors(text, ext) == []
