@@ -146,6 +146,46 @@ def test_orphans(spark):
     assert references.orphans(edges, n.limit(0), f.limit(0), gone.limit(0), s.limit(0)).filter("ref_field = 'target_name'").count() == 3
 
 
+@pytest.mark.parametrize("match", ["simple", "partial", "full"])
+def test_dangling_of_composite_keys(spark, match):
+    r = random.Random(7)
+    part = lambda: r.choice(["a", "b", "a|1:b", None])
+    refs = [(k, part(), part(), part(), "clash") for k in range(120)] + [(None, "a", "a", "a", "clash")]
+    targets = [(part(), part(), part()) for _ in range(12)]
+    want = set()
+    for k, *parts, _ in refs[:-1]:
+        nulls = [p is None for p in parts]
+        found = any(all(p is None or p == t for p, t in zip(parts, row)) for row in targets)
+        if all(nulls) or (any(nulls) and match == "simple"):
+            continue
+        if (any(nulls) and match == "full") or not found:
+            want.add(k)
+    df = spark.createDataFrame(refs + refs[:5], "id long, x string, y string, z string, key string")
+    to = spark.createDataFrame(targets, "x string, y string, z string")
+    got = [x.id for x in references.dangling(df, to, ["x", "y", "z"], match).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert references.dangling(df.limit(0), to, ["x"], match).count() == 0
+    assert references.dangling(df, to.limit(0), ["x"], "simple").count() == sum(x[1] is not None for x in refs[:-1])
+    with pytest.raises(ValueError):
+        references.rule("odd", 0, 1)
+
+
+def test_as_of_against_brute_force(spark):
+    """Most rows belong to one key, so its ranges hand their values on."""
+    r = random.Random(8)
+    key = lambda: bytearray(r.choice([b"h", b"h", b"h", b"a", b"z"]))
+    events = [(key(), day(r.randint(0, 40)), r.choice([0, 0, 1])) for _ in range(400)]
+    refs = [(k, 1, key(), day(r.randint(-1, 41))) for k in range(400)]
+    last = lambda k, t, kind: max((at for e, at, n in events if e == k and n == kind and at <= t), default=None)
+    want = {k: (last(x, t, 0), last(x, t, 1)) for k, _, x, t in refs}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = references.as_of(spark.createDataFrame(refs, "id long, field int, key binary, t timestamp"), spark.createDataFrame(events, "key binary, t timestamp, kind int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 400 and {x.id: (x.p, x.r) for x in out} == want
+
+
 SCANS = "scan_id long, repo string, file_path string, event_type string, content_hash string, observed_at timestamp, arrived_at timestamp, key string"
 RUNS = "run_id int, cutoff_at timestamp, status string, logged_at timestamp"
 
