@@ -3,11 +3,13 @@
 Method: document-centred disambiguation. A first pass over each document
 counts how every token that is written with a period goes on: before a lower
 case word or digit it must be an abbreviation, at the end of a block it ends a
-sentence. Those counts decide inside the document; where it is silent the
-counts of the corpus decide (over distinct texts, joined per document, never
-broadcast); a short
-list of common abbreviations stands in where both are silent. Scripts without
-spaces or periods have their own terminators.
+sentence. It also notes the proper names: words with a capital inside a
+sentence, where nothing else asks for one, that the document never writes
+small. Those counts decide inside the document; where it is silent the counts
+of the corpus decide (over distinct texts, joined per document, never
+broadcast); a short list of common abbreviations is asked last, where both are
+silent. Behind an abbreviation that may end a sentence, a proper name goes on
+with it. Scripts without spaces or periods have their own terminators.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlens.operators.skew import join_unique
 from graphlens.session import stage
 
-# Abbreviations that never end a sentence, and some that may.
+# Abbreviations that never end a sentence, and some that may; asked only where document and corpus are silent.
 NEVER_LAST = frozenset("mr mrs ms dr prof st no sec fig vol approx e.g i.e cf vs eq ch m mme mlle c.-à-d p pp pág pag sr sra dra ej dott sig ing bzw z b d h mind ca nr vgl см напр проф г. с т стр рис bkz örn tzn np str r vb dr bijv blz o.a d.w.z m.a.w د डॉ श्री".split())
 MAY_BE_LAST = frozenset("etc inc ltd co corp p.m a.m u.k u.s usw u.a д п г др ecc enz vd itp itd".split())
 # German month names, before which a number with a period is a day.
@@ -32,6 +35,10 @@ MONTHS = frozenset("Januar Februar März April Mai Juni Juli August September Ok
 SHARE, SEEN = 0.3, 4
 #: One without unambiguous uses counts as one if that is so many times likelier than an ordinary word; PERIOD: how often an abbreviation has its period.
 LIKELIER, PERIOD = 1000, 0.99
+#: How often a proper name stands behind an abbreviation that goes before names.
+NAMED = 0.99
+#: What is counted of a word: see ``evidence``; ``small`` is its uses written small.
+COUNTS = ("low", "up", "last", "bare", "small")
 
 STOPS = ".!?。！？।॥؟…．｡۔"
 _FULL = "。！？।॥؟．｡۔"
@@ -40,8 +47,8 @@ _CLOSE = frozenset(_OPEN.values())
 _BRACKETS = frozenset("([{（［【")
 _MARKS = re.compile(r'["()\[\]{}（）［］【】「」『』《》〈〉“”„«»‹›]')
 _STOP_RUN = re.compile(f"[{re.escape(STOPS)}]+")
-_TOKEN = re.compile(r"""[^\s"“”„«»‹›()\[\]{}（）,;:!?。，、/]+$""")
-_NEXT = re.compile(r"\s*(\S{0,60})")
+_BREAKS = frozenset("\"“”„«»‹›()[]{}（）,;:!?。，、/")
+_NEXT = re.compile(r"\s*(\S*)")
 _HEADING = re.compile(r"[ \t]{0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
 _BULLET = re.compile(r"[ \t]*(?:[-*+•‣◦–—·]|\[[ xX]\])[ \t]+(?:\[[ xX]\][ \t]+)?")
 _NUMBER = re.compile(r"[ \t]*(?:\d{1,3}[.)]|[A-Za-z]\))[ \t]+")
@@ -49,6 +56,8 @@ _RULE = re.compile(r"[ \t]*([-*_=~`])(?:[ \t]*\1){2,}[ \t]*\w*[ \t]*$")
 _LINES = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 _THAI_SPACE = re.compile(r"(?<=[ก-ฺเ-๎])[  　]+(?=[ก-ฺเ-๎])")
 _BARE = re.compile(r"\w[\w\-'’]*(?:\.\w[\w\-'’]*)*(?!\.?[\w.])")
+_INSIDE = re.compile(r"(?:(?<=[^\W\d_] )|(?<=[^\W\d_], ))[^\W\d_][\w'’-]*")
+_FIRST = re.compile(r"[\w'’-]*")
 _WORDISH = re.compile(r"[a-z][a-z0-9]*(?:[A-Z_]|\.\w+\(|\()")
 
 
@@ -128,8 +137,11 @@ def _begins_sentence(word: str) -> bool:
 
 
 def _token(text: str, start: int, stop: int) -> str:
-    m = _TOKEN.search(text, max(start, stop - 40), stop)
-    return m.group() if m else ""
+    """What stands before ``stop`` without space or mark, however long."""
+    at = stop
+    while at > start and text[at - 1] not in _BREAKS and not text[at - 1].isspace():
+        at -= 1
+    return text[at:stop]
 
 
 def _bare(text: str) -> Counter:
@@ -137,8 +149,16 @@ def _bare(text: str) -> Counter:
     return Counter(_BARE.findall(text.lower()))
 
 
-def evidence(text: str, bare: Counter | None = None) -> dict[str, list[int]]:
-    """token -> [before lower case or digit, before what may begin a sentence, at the end of a block, without period]."""
+def _small(text: str) -> Counter:
+    """Word -> uses without a period that are written small."""
+    return Counter(w for w in _BARE.findall(text) if w[0].islower())
+
+
+def evidence(text: str, bare: Counter | None = None, followers: Counter | None = None) -> dict[str, list[int]]:
+    """token -> [before lower case or digit, before what may begin a sentence, at the end of a block, without period].
+
+    ``followers`` counts (token, word behind it in lower case) where that word has a capital.
+    """
     seen: dict[str, list[int]] = {}
     for a, b, _ in blocks(text):
         spans = pairs(text, a, b)
@@ -162,6 +182,10 @@ def evidence(text: str, bare: Counter | None = None) -> dict[str, list[int]]:
                 s[0] += 1
             elif not quoted:
                 s[1] += 1
+                if followers is not None:
+                    word = _FIRST.match(nxt.lstrip("\"'“„«([¿¡")).group()
+                    if word[:1].isupper():
+                        followers[w, word.lower()] += 1
     if seen:
         bare = _bare(text) if bare is None else bare
         for w, s in seen.items():
@@ -170,31 +194,36 @@ def evidence(text: str, bare: Counter | None = None) -> dict[str, list[int]]:
 
 
 def _abbreviation(token: str, doc: dict[str, list[int]], corpus: dict[str, bool]) -> str:
-    """'never' or 'may' end a sentence, or '' for an ordinary word."""
+    """'never' or 'may' end a sentence, or '' for an ordinary word: by the document, then the corpus, then the lists."""
     w = token.lower()
-    own = doc.get(w, [0, 0, 0, 0])
-    if own[2] and not own[0]:
-        return "may" if w in NEVER_LAST or w in MAY_BE_LAST or "." in w else ""
-    if w in MAY_BE_LAST:
-        return "may"
-    if w in NEVER_LAST:
-        return "never"
-    if len(token) == 1 and token.isalpha():
-        return "may" if own[2] or corpus.get(w) is True else "never"
-    if own[0] and not own[3]:
-        return "may" if own[2] or corpus.get(w, False) else "never"
-    if w in corpus:
-        return "may" if corpus[w] or own[2] else "never"
-    return ""
+    low, _, last, bare = doc.get(w, (0, 0, 0, 0))
+    told = corpus.get(w)
+    if last and not low:  # it ends blocks here, and nothing here makes it an abbreviation
+        return "may" if told is not None or w in NEVER_LAST or w in MAY_BE_LAST or "." in w else ""
+    if low and not bare:  # an abbreviation in this document
+        return "may" if last or told or (told is None and w in MAY_BE_LAST) else "never"
+    if told is not None:
+        return "may" if told or last else "never"
+    if w in NEVER_LAST or w in MAY_BE_LAST:
+        return "may" if w in MAY_BE_LAST or last else "never"
+    return "never" if len(token) == 1 and token.isalpha() and not last else ""
+
+
+def names(text: str) -> frozenset[str]:
+    """Proper names of a document, by their unambiguous occurrences: capitals inside a sentence, and never written small."""
+    inside = {w for w in _INSIDE.findall(text) if w[0].isupper()}
+    return frozenset(w for w in inside if not re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text)) if inside else frozenset()
 
 
 def split(text: str, corpus: dict[str, bool] | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence, in code points. ``corpus``: token -> whether it may end a sentence."""
     corpus = corpus or {}
     doc = evidence(text)
+    proper: list[frozenset] = []  # worked out where first asked for
+    known = lambda w: w in (proper or proper.append(names(text)) or proper)[0]
     out: list[tuple[int, int]] = []
     for a, b, unit in blocks(text):
-        cuts = [] if unit else _cuts(text, a, b, doc, corpus)
+        cuts = [] if unit else _cuts(text, a, b, doc, corpus, known)
         for c in [*cuts, b]:
             s, e = a, c
             while s < e and (text[s].isspace() or text[s] in "﻿​"):
@@ -207,7 +236,7 @@ def split(text: str, corpus: dict[str, bool] | None = None) -> list[tuple[int, i
     return out
 
 
-def _cuts(text: str, a: int, b: int, doc: dict, corpus: dict) -> list[int]:
+def _cuts(text: str, a: int, b: int, doc: dict, corpus: dict, known) -> list[int]:
     spans = pairs(text, a, b)
     opens = [x for x, _ in spans]
     cuts: list[int] = []
@@ -255,7 +284,8 @@ def _cuts(text: str, a: int, b: int, doc: dict, corpus: dict) -> list[int]:
             kind = _abbreviation(w, doc, corpus) if w and not w.isdigit() else ""
             if kind == "never" or not _begins_sentence(nxt):
                 continue
-            if kind == "may" and not (nxt.lstrip("\"'“„«([¿¡")[:1].isupper() and not nxt[0].isdigit()):
+            bare = nxt.lstrip("\"'“„«([¿¡")
+            if kind == "may" and (not bare[:1].isupper() or nxt[0].isdigit() or known(_FIRST.match(bare).group())):
                 continue
         elif not _begins_sentence(nxt):
             continue
@@ -267,19 +297,39 @@ def _cuts(text: str, a: int, b: int, doc: dict, corpus: dict) -> list[int]:
     return cuts
 
 
-def _title(total: DataFrame) -> F.Column:
-    """Whether a word is an abbreviation that always goes on before a capital ('Dr.').
+def title_terms(n, last, dots: int, bare: int, all_up: int, all_last: int, without):
+    """Log-likelihoods against an ordinary word, as (that it has its period so often, that its periods never end a block)."""
+    rate, ends = min(dots / (dots + bare), 1 - PERIOD / 2), all_last / (all_last + all_up + 1)
+    return n * math.log(PERIOD / rate) + without * math.log((1 - PERIOD) / (1 - rate)), n * -math.log(1 - ends)
+
+
+def name_terms(named, plain, all_named: int, all_plain: int):
+    """Log-likelihood against an ordinary word that so many of the words behind it are proper names and so many are not."""
+    rate = min(max(all_named / max(1, all_named + all_plain), 1 - NAMED), NAMED - 0.01)
+    return named * math.log(NAMED / rate) + plain * math.log((1 - NAMED) / (1 - rate))
+
+
+def _titles(total: DataFrame, behind: DataFrame) -> DataFrame:
+    """(word): abbreviations that always go on before a capital ('Dr.').
 
-    Two likelihood ratios against an ordinary word, with rates of the corpus:
-    that it has a period so often, and that its periods never end a block.
+    Likelihood ratios against an ordinary word, with rates of the corpus: that
+    it has a period so often; and that its periods never end a block while
+    proper names follow it, names being words the corpus never writes small.
     """
     n = F.col("low") + F.col("up") + F.col("last")
     r = total.agg(F.sum(n).alias("dots"), F.sum("bare").alias("bare"), F.sum("up").alias("up"), F.sum("last").alias("last")).first()
     if not r.dots or not r.bare or not r.last:
-        return F.lit(False)
-    rate, ends, least = min(r.dots / (r.dots + r.bare), 1 - PERIOD / 2), r.last / (r.last + r.up + 1), math.log(LIKELIER)
-    dotted = n * math.log(PERIOD / rate) + F.col("bare") * math.log((1 - PERIOD) / (1 - rate))
-    return (F.col("last") == 0) & (F.col("low") == 0) & (dotted >= least) & (n * -math.log(1 - ends) >= least)
+        return total.limit(0).select("word")
+    small = total.filter("small > 0").select(F.col("word").alias("next"), F.lit(True).alias("small"))
+    behind = stage(behind, "behind")
+    told = join_unique(behind, small, "next", "left").groupBy("word").agg(F.sum(F.when(F.col("small").isNull(), F.col("up")).otherwise(0)).alias("named"), F.sum(F.when(F.col("small"), F.col("up")).otherwise(0)).alias("plain"))
+    told = stage(told, "followed")
+    every = told.agg(F.sum("named").alias("named"), F.sum("plain").alias("plain")).first()
+    dotted, inside = title_terms(n, F.col("last"), r.dots, r.bare, r.up, r.last, F.col("bare"))
+    named = name_terms(F.coalesce("named", F.lit(0)), F.coalesce("plain", F.lit(0)), every.named or 0, every.plain or 0)
+    least = math.log(LIKELIER)
+    some = total.filter((F.col("last") == 0) & (F.col("low") == 0) & (n > 0)).filter(dotted >= least)
+    return some.join(told, "word", "left").filter(inside + named >= least).select("word")
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -296,16 +346,22 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def count(batches):
         for batch in batches:
             total: dict[str, list[int]] = {}
+            followers: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 bare = _bare(t)
-                seen = evidence(t, bare)
+                seen = evidence(t, bare, followers)
                 for w, k in bare.items():
-                    total.setdefault(w, [0, 0, 0, 0])[3] += k
+                    total.setdefault(w, [0, 0, 0, 0, 0])[3] += k
+                for w, k in _small(t).items():
+                    total.setdefault(w, [0, 0, 0, 0, 0])[4] += k
                 for w, s in seen.items():
-                    have = total.setdefault(w, [0, 0, 0, 0])
+                    have = total.setdefault(w, [0, 0, 0, 0, 0])
                     for n in range(3):
                         have[n] += s[n]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([s[n] for s in total.values()], pa.int64()) for n in range(4))], names=["word", "low", "up", "last", "bare"])
+            words = [*total, *(w for w, _ in followers)]
+            nexts = [*[None] * len(total), *(x for _, x in followers)]
+            rows = [*total.values(), *([0, k, 0, 0, 0] for k in followers.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(nexts, pa.string()), *(pa.array([r[n] for r in rows], pa.int64()) for n in range(5))], names=["word", "next", *COUNTS])
 
     def own(batches):
         for batch in batches:
@@ -327,11 +383,12 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["_key", "start_char", "end_char"])
 
     # each text counts once, however often it is delivered; uses without period count in all texts
-    counts = rows.select("_text").distinct().mapInArrow(count, "word string, low long, up long, last long, bare long")
-    total = stage(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "up", "last", "bare")]), "words")
+    counts = rows.select("_text").distinct().mapInArrow(count, "word string, next string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counted = stage(counts.groupBy("word", "next").agg(*[F.sum(c).alias(c) for c in COUNTS]), "words")
+    total = counted.filter("next IS NULL").drop("next")
     n = F.col("low") + F.col("up") + F.col("last")
-    plain = (n >= SEEN) & (F.col("low") >= SHARE * n)
-    known = total.filter(plain | _title(total)).select("word", ((F.col("last") > 0) | (F.col("up") == 0)).alias("may"))
+    plain = total.filter((n >= SEEN) & (F.col("low") >= SHARE * n)).select("word", ((F.col("last") > 0) | (F.col("up") == 0)).alias("may"))
+    known = plain.unionByName(_titles(total, counted.filter("next IS NOT NULL").select("word", "next", "up")).withColumn("may", F.lit(False)))
     # a token that many documents share is in `known` at most once; the pairs are as many as the documents' own tokens
     told = rows.mapInArrow(own, f"_key {kind}, word string").join(known, "word").groupBy("_key").agg(F.collect_set(F.struct("word", "may")).alias("known"))
     out = rows.join(told, "_key", "left").select("_key", "_text", "known").mapInArrow(cut, f"_key {kind}, start_char int, end_char int")
