@@ -15,8 +15,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a chunk.
-CHUNK = 2**18
+#: Characters of a chunk: several to a file of common length, so that one huge file is the work of many tasks.
+CHUNK = 2**13
 
 # States of the automaton. Those behind START are inside a span; an escape or a first mark seen has a state of its own.
 (CODE, SLASH, LINE, BLOCK, BLOCK_STAR, DOUBLE, DOUBLE_ESC, SINGLE, SINGLE_ESC, TICK, TICK_ESC, D1, D2, TD, TD_ESC, TD1, TD2, S1, S2, TS, TS_ESC, TS1, TS2) = range(23)

@@ -3,8 +3,9 @@
 Spans are labelled by multinomial logistic regression on hashed character
 n-grams. The model is linear and n-grams stay inside words, so a word's scores
 are worked out once per worker. It is fitted on a bounded sample of labelled
-texts (``PER_LANGUAGE`` a language, at most) and on a few function words of
-each language, which keep all languages present where the sample is small.
+texts, each read whole (``PER_LANGUAGE`` a language, at most), and on a few
+function words of each language, which keep a language present that has no
+labelled text at all.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Texts a language that the model is fitted on at most, and characters of each that are looked at.
-PER_LANGUAGE, SAMPLE_CHARS = 60, 1200
+#: Labelled texts a language that the model is fitted on at most.
+PER_LANGUAGE = 60
 BUCKETS = 2**14
 LANGUAGES = ("ar", "de", "en", "es", "fr", "hi", "it", "ja", "ko", "nl", "pl", "pt", "ru", "th", "tr", "zh")
 #: A comment is text from this many words on, or characters of a script without spaces.
@@ -108,8 +109,8 @@ def _words(text: str) -> list[str]:
 
 def only_name(sentences: list[list[str]], name: str) -> bool:
     """Whether words are those of a node's name, alone or with an article."""
-    words = {w.lower() for s in sentences for w in s} - _ARTICLES
-    return len(words) < 12 and words <= {h.lower() for h in _HUMPS.findall(name)} | set(name.lower().split("_")) | {name.lower()}
+    own = {h.lower() for h in _HUMPS.findall(name)} | set(name.lower().split("_")) | {name.lower()} | _ARTICLES
+    return all(w.lower() in own for s in sentences for w in s)
 
 
 def is_text(text: str | None, name: str = "") -> bool:
@@ -159,56 +160,73 @@ class Model:
             out[lang] = out.get(lang, 0) + sum(len(w) * (3 if "\u3005" <= w[0] <= "\u9fff" else 1) for w in words)
         return out
 
-    def main(self, text: str) -> tuple[str, int]:
-        """(language that most of a comment is in, its letters); ('', 0) if it holds no human language. Ties: the first in order."""
-        got = self.texts.get(text)
+    def languages(self, text: str, name: str = "") -> dict[str, int]:
+        """Letters by language of a comment; {} if it holds no human language, or only the name of its node."""
+        got = self.texts.get((text, name))
         if got is None:
-            spans = self.spans(read(text))
-            best = max(sorted(spans), key=lambda k: spans[k]) if spans else ""
-            got = (best, spans.get(best, 0))
+            sentences = read(text)
+            got = {} if not sentences or (name and only_name(sentences, name)) else self.spans(sentences)
             if len(self.texts) < self.MEMO and len(text) < 200:
-                self.texts[text] = got
+                self.texts[text, name] = got
         return got
 
+    def main(self, text: str, name: str = "") -> tuple[str, int]:
+        """(language that most of a comment is in, its letters); ('', 0) if it holds no human language. Ties: the first in order."""
+        spans = self.languages(text, name)
+        best = max(sorted(spans), key=lambda k: spans[k]) if spans else ""
+        return best, spans.get(best, 0)
+
 
 def fit(rows: list[tuple[str, str]], rounds: int = 25, rate: float = 0.6, decay: float = 1e-4) -> Model:
     """A model of (text, language) rows and the seeds; rows that it then contradicts are taken as mislabelled, and it is fitted again."""
-    examples: list[tuple[list[int], int, bool]] = []
+    examples: list[tuple[list[str], int, bool]] = []
     for lang, words in SEEDS.items():
         for w in (words, *(" ".join(words.split()[k::4]) for k in range(4))):
-            examples.append(([b for x in _WORD.findall(w) for b in buckets(x)], LANGUAGES.index(lang), True))
+            examples.append((_WORD.findall(w), LANGUAGES.index(lang), True))
     for text, lang in rows:
         if lang in LANGUAGES:
-            for part in _SENTENCE.split(prose(text[:SAMPLE_CHARS]))[:6]:
+            for part in _SENTENCE.split(prose(text)):
                 words = _words(part or "")
                 if words:
-                    examples.append(([b for x in words[:40] for b in buckets(x)][:600], LANGUAGES.index(lang), False))
-    weights = _descend(examples, rounds, rate, decay)
-    kept = [e for e in examples if e[2] or int(weights[e[0]].sum(axis=0).argmax()) == e[1]]
+                    examples.append((words, LANGUAGES.index(lang), False))
+    first = Model(_descend(examples, rounds, rate, decay))
+    kept = [e for e in examples if e[2] or first.label(e[0]) == LANGUAGES[e[1]]]
     return Model(_descend(kept, rounds, rate, decay))
 
 
 def _descend(examples: list, rounds: int, rate: float, decay: float) -> np.ndarray:
-    """Full-batch gradient descent on the softmax loss, steps scaled by each weight's past gradients."""
+    """Full-batch gradient descent on the softmax loss, steps scaled by each weight's past gradients.
+
+    n-grams stay inside words, so each distinct word is scored once a round
+    and an example is the sum of its words: texts are used whole, whatever
+    their number of n-grams.
+    """
     n, k = len(examples), len(LANGUAGES)
+    ids: dict[str, int] = {}
+    words = np.fromiter((ids.setdefault(w, len(ids)) for e in examples for w in e[0]), dtype=np.int64)
     lengths = np.array([len(e[0]) for e in examples])
-    index = np.fromiter((b for e in examples for b in e[0]), dtype=np.int64, count=int(lengths.sum()))
-    rows = np.repeat(np.arange(n), lengths)
-    value = (1.0 / np.maximum(lengths, 1) ** 0.5).astype(np.float32)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    grams = [buckets(w) for w in ids]
+    sizes_ = np.array([len(g) for g in grams])
+    index = np.fromiter((b for g in grams for b in g), dtype=np.int64, count=int(sizes_.sum()))
+    of_word = np.repeat(np.arange(len(ids)), sizes_)
+    of_example = np.repeat(np.arange(n), lengths)
+    word_starts, starts = (np.concatenate(([0], np.cumsum(x)[:-1])) for x in (sizes_, lengths))
+    value = (1.0 / np.sqrt(np.add.reduceat(sizes_[words], starts))).astype(np.float32)
     truth = np.array([e[1] for e in examples])
     share = np.bincount(truth, minlength=k).astype(np.float32)
     weight = (n / k / np.maximum(share, 1))[truth].astype(np.float32)
     w = np.zeros((BUCKETS, k), np.float32)
     past = np.full((BUCKETS, k), 1e-8, np.float32)
     for _ in range(rounds):
-        logits = np.add.reduceat(w[index], starts, axis=0) * value[:, None]
+        scored = np.add.reduceat(w[index], word_starts, axis=0)
+        logits = np.add.reduceat(scored[words], starts, axis=0) * value[:, None]
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n), truth] -= 1
         p *= (weight * value)[:, None]
-        grad = np.stack([np.bincount(index, weights=p[rows, c], minlength=BUCKETS) for c in range(k)], axis=1).astype(np.float32) / n + decay * w
+        by_word = np.stack([np.bincount(words, weights=p[of_example, c], minlength=len(ids)) for c in range(k)], axis=1)
+        grad = np.stack([np.bincount(index, weights=by_word[of_word, c], minlength=BUCKETS) for c in range(k)], axis=1).astype(np.float32) / n + decay * w
         past += grad**2
         w -= rate * grad / np.sqrt(past)
     return w
@@ -217,15 +235,16 @@ def _descend(examples: list, rounds: int, rate: float, decay: float) -> np.ndarr
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``per_language`` rows of each language, by hash of the key: the bound of what goes to the driver."""
     code = F.lower(F.substring(lang, 1, 2))
-    rows = docs.filter(F.col(text).isNotNull() & (F.length(text) > 20) & code.isin(*LANGUAGES)).select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), code.alias("l"), F.xxhash64(key).alias("h"))
+    rows = docs.filter(F.col(text).isNotNull() & (F.length(text) > 20) & code.isin(*LANGUAGES)).select(F.col(text).alias("t"), code.alias("l"), F.xxhash64(key).alias("h"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).filter(F.col("n") <= per_language)
     return [(r.t, r.l) for r in first.select("t", "l").collect()]
 
 
-def label_comments(semantics: DataFrame, model: Model) -> DataFrame:
+def label_comments(semantics: DataFrame, model: Model, every: bool = False) -> DataFrame:
     """(node_id, line, lang, letters): every comment and docstring (line 0) that holds human language.
 
-    ``lang`` is the language that most of the text is in. Rows without
+    ``lang`` is the language that most of the text is in; with ``every`` each
+    language of the text has a row with its own letters. Rows without
     node_id are left out; a null list of comments, null comments and null
     lines hold nothing. Rows delivered twice come out once.
     """
@@ -244,10 +263,10 @@ def label_comments(semantics: DataFrame, model: Model) -> DataFrame:
                 for line, text in [(0, doc), *zip(lines or (), texts or ())]:
                     if line is None or not text:
                         continue
-                    best, letters = m.main(text)
-                    if best and not (name and len(text) < 120 and only_name(read(text), name)):
-                        for column, x in zip(out, (node, line, best, letters)):
-                            column.append(x)
+                    for lang, letters in m.languages(text, name).items() if every else [m.main(text, name)]:
+                        if lang:
+                            for column, x in zip(out, (node, line, lang, letters)):
+                                column.append(x)
             kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["node_id", "line", "lang", "letters"])
 
@@ -266,7 +285,7 @@ def shares(labelled: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def label_texts(spans: DataFrame, model: Model, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """``keep`` columns with lang and letters of each text that holds human language; others are left out."""
+    """``keep`` columns with lang and letters, a row for each language of each text; texts without human language are left out."""
     import pyarrow as pa
 
     shared = spans.sparkSession.sparkContext.broadcast(model.weights)
@@ -274,10 +293,9 @@ def label_texts(spans: DataFrame, model: Model, keep: tuple[str, ...], text: str
     def label(batches):
         m = Model(shared.value)
         for batch in batches:
-            got = [m.main(t) if t else ("", 0) for t in batch.column(0).to_pylist()]
-            chosen = [k for k, g in enumerate(got) if g[0]]
-            kept = [c.take(pa.array(chosen, pa.int64())) for c in batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([got[k][0] for k in chosen], pa.string()), pa.array([got[k][1] for k in chosen], pa.int64())], names=[*batch.schema.names[1:], "lang", "letters"])
+            found = [(k, lang, n) for k, t in enumerate(batch.column(0).to_pylist()) if t for lang, n in m.languages(t).items()]
+            kept = [c.take(pa.array([k for k, _, _ in found], pa.int64())) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([x for _, x, _ in found], pa.string()), pa.array([n for _, _, n in found], pa.int64())], names=[*batch.schema.names[1:], "lang", "letters"])
 
     fields = [f"`{c}` {spans.schema[c].dataType.simpleString()}" for c in keep]
     return spans.select(F.col(text).alias("_text"), *keep).mapInArrow(label, ", ".join([*fields, "lang string", "letters long"]))

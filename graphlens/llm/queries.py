@@ -48,8 +48,8 @@ def _language_model(spark: SparkSession, d: str) -> language.Model:
     return language.fit(language.sample(table(spark, d, "documents").filter("kind = 'prose'")))
 
 
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return language.label_comments(table(spark, d, "node_semantics"), _language_model(spark, d))
+def _labelled(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return language.label_comments(table(spark, d, "node_semantics"), _language_model(spark, d), every)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
-    return language.shares(_labelled(spark, d), table(spark, d, "parsed_nodes"))
+    return language.shares(_labelled(spark, d, True), table(spark, d, "parsed_nodes"))
 
 
 def p3_hidden(spark: SparkSession, d: str) -> DataFrame:

@@ -129,6 +129,25 @@ def test_chunks_compose(spark, size):
     assert sorted((r.file_path, r.start, r.kind, r.text) for r in chunklex.texts(df, chunk=size).collect()) == want
 
 
+def test_chunks_of_the_tables(spark):
+    """Every file of the smallest tables, read whole, in chunks of the usual size and in small ones."""
+    from tests.helpers import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("kind = 'source'")
+    assert docs.filter(f"length(text) > {chunklex.CHUNK}").count() > 0
+    rows = [sorted(map(tuple, chunklex.texts(docs.dropDuplicates(["file_path"]), chunk=size).collect())) for size in (10**9, chunklex.CHUNK, 700)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 100
+
+
+def test_each_language_of_a_comment(spark, model):
+    text = "Der Knoten wird nur neu aufgebaut, wenn es wirklich nötig ist. The lock must never be edited by hand."
+    df = spark.createDataFrame([("h", None, [(3, text)])], "node_id string, docstring string, inline_comments array<struct<line:int,text:string>>")
+    assert {(r.line, r.lang) for r in language.label_comments(df, model[0], every=True).collect()} == {(3, "de"), (3, "en")}
+    assert language.label_comments(df, model[0]).count() == 1
+    long = "the " * 40 + "merge draft table"
+    assert not language.is_text(long, "merge_draft_table")
+
+
 def test_transitions_are_functions():
     a, b = 'x = "s', '" # c'
     f, g = chunklex.transition(a, "python"), chunklex.transition(b, "python")
