@@ -18,21 +18,35 @@ COARSE = tuple(0.7 + 0.05 * k for k in range(15))
 FINE = tuple(0.97 + 0.005 * k for k in range(13))
 
 
-def cdf(mean: float, cap: int) -> list[float]:
-    """P(count <= k) for k = 0 .. cap - 1, shortened once it is 1: a draw is the number of values not above u."""
-    out, term, total = [], math.exp(-mean), 0.0
-    for k in range(cap):
-        total += term
+def cdf(mean: float, cap: int) -> tuple[int, list[float]]:
+    """(offset, P(count <= k) for k = offset, offset + 1, ... below cap): a draw at u is the offset and the number of values not above u.
+
+    What lies 40 standard deviations off is 0 or 1 in a double, so the list is
+    no longer than 80 of them, whatever the mean; an infinite mean is the cap.
+    """
+    if cap <= 0 or mean <= 0:
+        return 0, [1.0]
+    if mean == math.inf:
+        return cap, []
+    width = 40 * math.sqrt(mean) + 40
+    low = max(0, math.floor(mean - width))
+    if low >= cap:
+        return cap, []
+    out, total = [], 0.0
+    for k in range(low, min(cap, math.ceil(mean + width))):
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
         out.append(min(1.0, total))
         if total >= 1 - 1e-15 and k > mean:
             break
-        term *= mean / (k + 1)
-    return out
+    return low, out
 
 
 def capped_mean(mean: float, cap: int) -> float:
     """E[min(Poisson(mean), cap)] = sum over k < cap of P(count > k)."""
-    return sum(1 - p for p in cdf(mean, cap))
+    if mean <= 0 or cap <= 0:
+        return 0.0
+    offset, steps = cdf(mean, cap)
+    return offset + sum(1 - p for p in steps)
 
 
 def mean_for(rate: float, cap: int) -> float:
@@ -41,21 +55,22 @@ def mean_for(rate: float, cap: int) -> float:
         return 0.0
     if rate >= cap * (1 - 1e-9):
         return math.inf
-    low, high = 0.0, 1.0
-    while capped_mean(high, cap) < rate and high < 600:
-        high *= 2
-    for _ in range(60):
+    low, high = 0.0, 2.0 * cap + 200
+    for _ in range(70):
         mid = (low + high) / 2
         low, high = (mid, high) if capped_mean(mid, cap) < rate else (low, mid)
-    return high if high < 600 else math.inf
+        if high - low <= 1e-12 * high:
+            break
+    return high
 
 
 def _uniform(seed: int, mix: Column, key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), mix, key), 11) / F.lit(float(2**53))
 
 
-def _steps(mean: float, cap: int) -> list[float]:
-    return [0.0] * cap if mean == math.inf else cdf(mean, cap) if mean > 0 else [1.0]
+def _drawn(draw: Column) -> Column:
+    """Number of copies at ``u`` of a struct (offset, steps)."""
+    return draw.getField("offset") + F.size(F.filter(draw.getField("steps"), lambda c: c <= F.col("u")))
 
 
 class Plan:
@@ -64,19 +79,20 @@ class Plan:
     ``sizes`` is (doc_id, source, tokens), one row per document, a written
     table as it is read several times. ``targets`` is a small table by nature:
     one row per mix and source, read to the driver and checked to be at most
-    ``MOST`` rows. Rows with null mix, source, share or cap, shares or caps
-    not above 0 and repeated rows are left out; documents of null source
-    belong to no mix.
+    ``MOST`` rows. Rows with null mix, source, share or cap and shares or caps
+    not above 0 are left out; of several rows of a mix and source that with
+    the greatest share, then cap, counts; documents of null source belong to
+    no mix.
     """
 
     MOST = 10_000
 
     def __init__(self, sizes: DataFrame, targets: DataFrame, seed: int = 42):
         self.sizes, self.seed, self.spark = sizes.filter("source IS NOT NULL AND doc_id IS NOT NULL"), seed, sizes.sparkSession
-        rows = targets.select("mix", "source", "target_share", "max_repeats").dropna().dropDuplicates(["mix", "source"]).limit(self.MOST + 1).collect()
+        usable = targets.select("mix", "source", "target_share", "max_repeats").dropna().filter("target_share > 0 AND max_repeats > 0")
+        rows = usable.groupBy("mix", "source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("mix", "source", "t.*").orderBy("mix", "source").limit(self.MOST + 1).collect()
         if len(rows) > self.MOST:
             raise ValueError(f"more than {self.MOST} targets")
-        rows = [r for r in rows if r.target_share > 0 and r.max_repeats > 0]
         wanted = sorted({r.source for r in rows})
         held = {r.source: (r.docs, r.tokens) for r in self.sizes.filter(F.col("source").isin(wanted)).groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).collect()}
         size: dict[str, int] = {}
@@ -93,25 +109,25 @@ class Plan:
 
     def _correct(self, factors: tuple[float, ...]) -> None:
         """Move each finite mean to where the hash draws give the tokens needed: one pass over the sizes."""
-        tried = [(n, f, _steps(p["mean"] * f, p["cap"])) for n, p in enumerate(self.parts) if 0 < p["mean"] < math.inf for f in factors]
+        tried = [(n, f, cdf(p["mean"] * f, p["cap"])) for n, p in enumerate(self.parts) if 0 < p["mean"] < math.inf for f in factors]
         if not tried:
             return
-        table = self.spark.createDataFrame([(self.parts[n]["mix"], self.parts[n]["source"], n, [s for k, _, s in tried if k == n]) for n in sorted({n for n, _, _ in tried})], "mix string, source string, n int, steps array<array<double>>")
+        table = self.spark.createDataFrame([(self.parts[n]["mix"], self.parts[n]["source"], n, [s for k, _, s in tried if k == n]) for n in sorted({n for n, _, _ in tried})], "mix string, source string, n int, draws array<struct<offset:int,steps:array<double>>>")
         rows = self.sizes.join(F.broadcast(table), "source").withColumn("u", _uniform(self.seed, F.col("mix"), F.col("doc_id")))
-        drawn = rows.groupBy("n").agg(*[F.sum(F.size(F.filter(F.col("steps")[k], lambda c: c <= F.col("u"))) * F.col("tokens")).alias(f"d{k}") for k in range(len(factors))]).collect()
+        drawn = rows.groupBy("n").agg(*[F.sum(_drawn(F.col("draws")[k]) * F.col("tokens")).alias(f"d{k}") for k in range(len(factors))]).collect()
         for r in drawn:
             p = self.parts[r.n]
             points = [(f, r[f"d{k}"]) for k, f in enumerate(factors)]
             p["mean"] *= min(points, key=lambda x: (abs(x[1] - p["need"]), abs(x[0] - 1)))[0]
 
     def _table(self) -> DataFrame:
-        rows = [(p["mix"], p["source"], _steps(p["mean"], p["cap"])) for p in self.parts]
-        return F.broadcast(self.spark.createDataFrame(rows, "mix string, source string, steps array<double>"))
+        rows = [(p["mix"], p["source"], cdf(p["mean"], p["cap"])) for p in self.parts]
+        return F.broadcast(self.spark.createDataFrame(rows, "mix string, source string, draw struct<offset:int,steps:array<double>>"))
 
     def counts(self) -> DataFrame:
         """(mix, source, doc_id, tokens, n): how often each document is drawn for each mix."""
         rows = self.sizes.join(self._table(), "source").withColumn("u", _uniform(self.seed, F.col("mix"), F.col("doc_id")))
-        return rows.select("mix", "source", "doc_id", "tokens", F.size(F.filter("steps", lambda c: c <= F.col("u"))).alias("n"))
+        return rows.select("mix", "source", "doc_id", "tokens", _drawn(F.col("draw")).alias("n"))
 
     def sample(self) -> DataFrame:
         """(mix, doc_id, copy) in random order: copy counts from 1; sorted by a hash over all partitions."""

@@ -52,7 +52,26 @@ def test_capped_poisson():
         mean = mixing.mean_for(rate, cap)
         assert math.isclose(mixing.capped_mean(mean, cap), rate, rel_tol=1e-6)
     assert mixing.mean_for(3, 2) == math.inf and mixing.mean_for(0, 2) == 0.0
-    assert mixing.cdf(1.0, 3) == pytest.approx([0.3679, 0.7358, 0.9197], abs=1e-4)
+    offset, steps = mixing.cdf(1.0, 3)
+    assert offset == 0 and steps == pytest.approx([0.3679, 0.7358, 0.9197], abs=1e-4)
+
+
+@pytest.mark.parametrize("rate,cap", [(700, 1000), (700, 701), (5000, 10**6), (999.5, 1000), (3, 10**9)])
+def test_large_means(rate, cap):
+    mean = mixing.mean_for(rate, cap)
+    assert math.isclose(mixing.capped_mean(mean, cap), rate, rel_tol=1e-6)
+    offset, steps = mixing.cdf(mean, cap)
+    assert len(steps) <= 80 * math.sqrt(mean) + 90 and steps == sorted(steps) and offset + len(steps) <= cap
+    draws = [offset + sum(c <= (k + 0.5) / 2000 for c in steps) for k in range(2000)]
+    assert max(draws) <= cap and math.isclose(sum(draws) / 2000, rate, rel_tol=0.01)
+
+
+def test_many_copies_and_clashing_targets(spark):
+    sizes = spark.createDataFrame([(1, "few", 10), (2, "few", 10), *((k, "many", 10) for k in range(3, 3003))], "doc_id long, source string, tokens long").cache()
+    targets = spark.createDataFrame([("m", "few", 0.5, 1000), ("m", "few", 0.4, 2000), ("m", "few", 0.5, 900), ("m", "many", 0.5, 1)], "mix string, source string, target_share double, max_repeats int")
+    rows = {r.source: r for r in mixing.Plan(sizes, targets).shares().collect()}
+    assert rows["few"].max_repeats == 1000 and rows["few"].met and abs(rows["few"].share_of_size - 0.5) < 0.03
+    assert abs(rows["many"].share_of_size - 0.5) < 0.02
 
 
 def test_mixing(spark):
