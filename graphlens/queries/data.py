@@ -26,14 +26,6 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.resolve(table(spark, d, "parsed_nodes")).select("node_id", "root_id", "depth")
 
 
-def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.resolve(table(spark, d, "parsed_nodes"), paths=True).select("node_id", F.array_join("path", " > ").alias("path"))
-
-
-def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(stage(hierarchy.resolve(table(spark, d, "parsed_nodes"), paths=True), "paths"))
-
-
 def _looped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes = table(spark, d, "parsed_nodes")
     resolved = stage(hierarchy.resolve(nodes, paths=True), "paths")
@@ -45,13 +37,13 @@ def p5_loops(spark: SparkSession, d: str) -> DataFrame:
     return _looped(spark, d)[1].select("node_id", "loop_id", "in_loop")
 
 
-def p5_all_paths(spark: SparkSession, d: str) -> DataFrame:
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     """(node_id, path) of every node: from its root, or from the loop node it hangs from."""
     resolved, looped = _looped(spark, d)
     return resolved.filter("depth >= 0").select("node_id", "path").unionByName(looped.select("node_id", "path")).select("node_id", F.array_join("path", " > ").alias("path"))
 
 
-def p5_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     """(node_id, descendant_id, distance) of every node, also of those in and below loops."""
     resolved, looped = _looped(spark, d)
     return hierarchy.descendants(resolved).unionByName(hierarchy.loop_descendants(looped))
@@ -64,7 +56,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_paths, p5_descendants, p5_loops, p5_all_paths, p5_all_descendants, p6_found)}
+    return {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_paths, p5_descendants, p5_loops, p6_found)}
 
 
 _NORMAL = "list_aggregate(list_reduce(list_prepend(['']::varchar[], list_transform(list_filter(string_split(replace({0}, '\\', '/'), '/'), lambda x: x not in ('', '.')), lambda x: [x])), lambda acc, x: case when x[1] = '..' then acc[:-2] else list_concat(acc, x) end)[2:], 'string_agg', '/')"
@@ -95,6 +87,17 @@ tree as (select node_id, node_id as root_id, 0 as depth, node_id as path from ti
 """
 
 
+# nodes that no walk from a root reaches: in a loop are those that a walk upwards meets again
+_STUCK = f"""{_P5},
+    stuck as (select node_id, parent from tied where node_id not in (select node_id from tree)),
+    walk as (select node_id as start, parent as here from stuck union select w.start, s.parent from walk w join stuck s on s.node_id = w.here),
+    ring as (select start as node_id from walk where here = start),
+    up as (select node_id as start, node_id as here from stuck union select u.start, s.parent from up u join stuck s on s.node_id = u.here where u.here not in (select node_id from ring)),
+    hung as (select start as node_id, here as ring_node from up where here in (select node_id from ring)),
+    named as (select start as node_id, min(here) as loop_id from walk where start in (select node_id from ring) group by 1)
+"""
+
+
 def oracle_sql() -> dict:
     return {
         "p4_found": f"with {_P4} select edge_id, ref_field, state from found",
@@ -107,10 +110,13 @@ def oracle_sql() -> dict:
             looped as (select distinct w.start from walk w join stuck s on s.node_id = w.at where s.parent = w.start)
             select node_id, root_id, depth from tree
             union all select w.start, min(w.at), -1 from walk w join looped l on l.start = w.at group by 1""",
-        "p5_paths": f"""with recursive {_P5} select c.node_id, t.path from cur c left join tree t using (node_id)""",
-        "p5_descendants": f"""with recursive {_P5}, up as (select node_id as descendant_id, parent as node_id, 1 as distance from tied where parent is not null and node_id in (select node_id from tree)
-            union all select u.descendant_id, t.parent, u.distance + 1 from up u join tied t using (node_id) where t.parent is not null)
-            select node_id, descendant_id, distance from up""",
+        "p5_loops": f"""with recursive {_STUCK} select h.node_id, n.loop_id, h.node_id = h.ring_node as in_loop from hung h join named n on n.node_id = h.ring_node""",
+        "p5_paths": f"""with recursive {_STUCK}, below as (select node_id, node_id as path from ring union all select s.node_id, b.path || ' > ' || s.node_id from below b join stuck s on s.parent = b.node_id where s.node_id not in (select node_id from ring))
+            select node_id, path from tree union all select node_id, path from below""",
+        "p5_descendants": f"""with recursive {_STUCK}, above as (select node_id as descendant_id, parent as node_id, 1 as distance from tied where parent is not null
+            union select u.descendant_id, t.parent, u.distance + 1 from above u join tied t using (node_id) where t.parent is not null and u.node_id <> u.descendant_id
+              and (u.node_id not in (select node_id from stuck) or u.distance <= (select count(*) from (select 1 from up where start = u.descendant_id union all select 1 from ring))))
+            select node_id, descendant_id, min(distance) as distance from above where node_id <> descendant_id group by 1, 2""",
         "p6_found": """with runs as (select run_id, cutoff, row_number() over (order by cutoff, run_id) as n from
               (select run_id, arg_max(status, logged_at) as status, arg_max(cutoff_at, logged_at) as cutoff from scan_runs group by 1) where status = 'ok'),
             useful as (select file_path, scan_id, observed_at, arrived_at, content_hash, coalesce(event_type = 'deleted', false) as gone from file_scans
