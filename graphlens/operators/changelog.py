@@ -7,9 +7,15 @@ of sessions, locks, audit and parse status.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.operators.order import numbered
+from graphlens.schema import CHANGES
+from graphlens.session import _filesystem
+
 # Types of records.
 RECORDS = ("NODE_UPSERT", "NODE_DELETE", "FILE_DELETE", "EDGE_UPSERT", "CLEAR", "BEGIN", "COMMIT", "ABORT", "SESSION_UPSERT", "SESSION_DELETE", "LOCK", "UNLOCK", "AUDIT", "PARSE_STATUS")
 CONTROL = ("BEGIN", "COMMIT", "ABORT")
@@ -102,6 +108,49 @@ def compact(log: DataFrame) -> DataFrame:
     return n.unionByName(e).select(F.col("at").alias("seq"), "rtype", "key", F.lit(None).cast("bigint").alias("tx_id"), "payload")
 
 
+class Journal:
+    """An append-only log below ``path``: batches of records, each written whole or not at all.
+
+    A batch is staged in a folder of its own and appears by one rename; its
+    name holds the first number of its records, so numbers go on across
+    batches. ``durable`` batches are read again before ``append`` returns.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _batches(self) -> list[tuple[int, int, str]]:
+        fs, where = _filesystem(self.spark, self.path)
+        if not fs.exists(where):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(where)]
+        return sorted((int(a), int(b), n) for n in names if n.startswith("batch-") for _, a, b in [n.split("-")])
+
+    def read(self) -> DataFrame:
+        """All records in ``schema.CHANGES``."""
+        batches = self._batches()
+        if not batches:
+            return self.spark.createDataFrame([], CHANGES)
+        return self.spark.read.schema(CHANGES).parquet(*[f"{self.path}/{name}" for _, _, name in batches])
+
+    def append(self, records: DataFrame, order: list[str], durable: bool = True) -> int:
+        """Append records (rtype, key, tx_id, payload) in an order of theirs; the number of records of the log."""
+        batches = self._batches()
+        at = batches[-1][0] + batches[-1][1] if batches else 0
+        rows = numbered(records, order, "seq", at).select("seq", "rtype", "key", F.col("tx_id").cast("bigint").alias("tx_id"), "payload")
+        staged = f"{self.path}/.staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        n = self.spark.read.schema(CHANGES).parquet(staged).count()
+        if n:
+            fs, source = _filesystem(self.spark, staged)
+            _, target = _filesystem(self.spark, f"{self.path}/batch-{at}-{n}")
+            if not fs.rename(source, target):
+                raise OSError(f"another batch begins at {at}")
+            if durable and self.spark.read.schema(CHANGES).parquet(f"{self.path}/batch-{at}-{n}").count() != n:
+                raise OSError(f"batch {at} is not whole")
+        return at + n
+
+
 def counts(log: DataFrame) -> DataFrame:
     """(rtype, n)."""
     return log.groupBy("rtype").agg(F.count("*").alias("n"))

@@ -16,6 +16,45 @@ def latest_sessions(events: DataFrame) -> DataFrame:
     return last.select("session_id", "r.*", "started_at")
 
 
+def open_session(events: DataFrame, session_id: str, agent_id: str, task: str, scope: list[str], mode: str, at) -> DataFrame:
+    """Session events with an opening; a session that is open already is not opened again."""
+    now = latest_sessions(events)
+    if not now.filter((F.col("session_id") == session_id) & (F.col("status") == "open")).isEmpty():
+        return events
+    row = events.sparkSession.createDataFrame([(session_id, agent_id, task, scope, mode, "open", at)], events.schema)
+    return events.unionByName(row)
+
+
+def close_session(events: DataFrame, session_id: str, at, status: str = "closed") -> DataFrame:
+    """Session events with a closing; a session that is not open stays as it is."""
+    last = latest_sessions(events).filter((F.col("session_id") == session_id) & (F.col("status") == "open"))
+    row = last.select("session_id", "agent_id", "task", "scope", "mode", F.lit(status).alias("status"), F.lit(at).alias("ts"))
+    return events.unionByName(row.select(*[F.col(c).cast(events.schema[c].dataType).alias(c) for c in events.columns]))
+
+
+def recover_sessions(events: DataFrame, locks: DataFrame, now) -> DataFrame:
+    """(session_id, agent_id, task, scope, mode, started_at, files): open sessions with the files they still hold."""
+    held = live_locks(locks, latest_sessions(events), now).groupBy("session_id").agg(F.sort_array(F.collect_set("file_path")).alias("files"))
+    rows = latest_sessions(events).filter("status = 'open'").join(held, "session_id", "left")
+    return rows.select("session_id", "agent_id", "task", "scope", "mode", "started_at", F.coalesce("files", F.array().cast("array<string>")).alias("files"))
+
+
+def dry_run(graph: Graph, proposed: DataFrame, locks: DataFrame) -> DataFrame:
+    """(id, change, verdict): what a proposed parse of some files (id, file_path, ...) would add, change or remove, and the guard's word on it.
+
+    A node that only comes in is allowed unless its file is locked.
+    """
+    files = proposed.select("file_path").distinct()
+    now = graph.nodes.join(files, "file_path", "left_semi").select("id", F.col("file_path").alias("f"), F.col("structural.signature").alias("was"))
+    then = proposed.select("id", F.col("file_path").alias("g"), F.col("signature").alias("is"))
+    both = now.join(then, "id", "full_outer")
+    change = F.when(F.col("f").isNull(), "added").when(F.col("g").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("is")), "changed")
+    rows = both.select("id", F.coalesce("f", "g").alias("file_path"), change.alias("change")).filter("change IS NOT NULL")
+    word = guard(rows.filter("change <> 'added'").select("id"), graph, locks)
+    held = locks.select("file_path", F.lit(True).alias("held")).distinct()
+    return rows.join(word, "id", "left").join(held, "file_path", "left").select("id", "change", F.coalesce("verdict", F.when(F.col("held"), "block").otherwise("allow")).alias("verdict"))
+
+
 def live_locks(locks: DataFrame, sessions: DataFrame, now) -> DataFrame:
     """Locks that still hold: not expired, of an open session, the highest fencing token of each file."""
     best = locks.groupBy("file_path").agg(F.max_by(F.struct("session_id", "acquired_at", "expires_at", "fencing_token"), "fencing_token").alias("r")).select("file_path", "r.*")

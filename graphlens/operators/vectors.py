@@ -8,8 +8,9 @@ from itertools import islice
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens import schema
 from graphlens.functions.scalar import cosine_distance
-from graphlens.session import stage
+from graphlens.session import exists, remove, stage
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -18,6 +19,40 @@ def latest(changes: DataFrame) -> DataFrame:
     return last.select("id", "r.*").filter(~F.coalesce("deleted", F.lit(False))).drop("deleted")
 
 
+class Collection:
+    """Vectors of one dimension kept below ``path`` as a log of changes: rows of ``schema.VECTORS``, the last of an id counts."""
+
+    def __init__(self, spark, path: str, dimension: int):
+        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
+
+    def _changes(self) -> DataFrame:
+        return self.spark.read.schema(schema.VECTORS).parquet(self.path) if exists(self.spark, f"{self.path}/_SUCCESS") else self.spark.createDataFrame([], schema.VECTORS)
+
+    def _put(self, rows: DataFrame) -> None:
+        at = self._changes().agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).first().top + 1
+        rows.withColumn("seq", F.col("seq") + F.lit(at)).select("id", "embedding", "metadata", "document", "seq", "deleted").write.mode("append").parquet(self.path)
+
+    def upsert(self, vectors: DataFrame) -> None:
+        """Put (id, embedding, metadata, document[, seq]) in; any vector of another dimension refuses all of them."""
+        if not check_dimension(vectors.filter("id IS NOT NULL"), self.dimension).isEmpty():
+            raise ValueError(f"vectors must have {self.dimension} numbers")
+        rows = vectors if "seq" in vectors.columns else vectors.withColumn("seq", F.lit(0).cast("bigint"))
+        self._put(rows.filter("id IS NOT NULL").withColumn("deleted", F.lit(False)))
+
+    def delete(self, ids: DataFrame) -> None:
+        null = lambda kind: F.lit(None).cast(kind)
+        self._put(ids.select("id").distinct().select("id", null("array<float>").alias("embedding"), null("map<string,string>").alias("metadata"), null("string").alias("document"), F.lit(0).cast("bigint").alias("seq"), F.lit(True).alias("deleted")))
+
+    def clear(self) -> None:
+        remove(self.spark, self.path)
+
+    def live(self) -> DataFrame:
+        return latest(self._changes())
+
+    def get(self, ids: DataFrame) -> DataFrame:
+        return self.live().join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
     """Vectors of another dimension than the collection's: none may be written."""
     return vectors.filter(F.size("embedding") != dimension)

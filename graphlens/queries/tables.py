@@ -58,10 +58,12 @@ def vector_latest(spark, d):
     return vectors.latest(v.unionByName(gone)).select("id")
 
 
-@query()
+@query("""with unit as (select cast(vec_id as varchar) as id, vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+    scored as (select q.id as query_id, v.id, 1 - list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))) as score from unit q, unit v where q.vec_id % 100 = 0)
+    select query_id, id, round(score, 6) + 0.0 as score from (select *, row_number() over (partition by query_id order by score, id) as place from scored) where place <= 10""")
 def vector_neighbors(spark, d):
     v = stage(_vectors(spark, d), "vectors")
-    return vectors.many_top_k(v, v.filter("seq % 100 = 0").select("id", "embedding"), 10)
+    return vectors.many_top_k(v, v.filter("seq % 100 = 0").select("id", "embedding"), 10).select("query_id", "id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 @query()
@@ -161,11 +163,7 @@ def windowed_counts(spark, d):
 
 @query("select user_id, ts, (select count(*) from events b where b.user_id = a.user_id and b.ts <= a.ts and b.ts > a.ts - interval 60 minutes) as n from (select distinct user_id, ts from events) a")
 def rate_window_counts(spark, d):
-    from pyspark.sql import Window
-
-    rows = _events(spark, d).select("user_id", "ts")
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60 * 60 * 10**6 + 1, 0)
-    return rows.withColumn("n", F.count("*").over(w)).distinct()
+    return pipelines.calls_in_window(_events(spark, d), "user_id", 3600).select("user_id", "ts", "n")
 
 
 @query("select 'n' || user_id as source_id, event_type as target_id, count(*) as n, min(ts) as first_seen from events group by 1, 2")
@@ -181,7 +179,14 @@ def lease_staleness(spark, d):
 
 
 # documents: search, hashes, parsing, linking
-@query()
+_BM25 = """with w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents),
+    s as (select count(*) as n, avg(len(w)) as m from w), t as (select doc_id, len(w) as length, unnest(w) as term from w),
+    tf as (select doc_id, length, term, count(*) as tf from t where term in ('scheduler', 'lock', 'replay', 'order') group by 1, 2, 3), df as (select term, count(*) as df from tf group by 1),
+    scored as (select doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / m))) as score from tf join df using (term), s group by 1)
+    select doc_id, round(score, 6) as score from scored order by round(score, 9) desc, doc_id limit 10"""
+
+
+@query(_BM25)
 def bm25_topk(spark, d):
     return ranking.bm25(table(spark, d, "documents"), "scheduler lock replay order").select("doc_id", F.round("score", 6).alias("score"))
 
@@ -222,14 +227,30 @@ def linked_edges(spark, d):
     return ingest.link(ingest.candidates_of(p), nodes, imports).groupBy("type", "by").agg(F.count("*").alias("n"))
 
 
-@query("""with cand as (select distinct target_name as name, repo from edge_candidates where target_name not like '%.%'),
-    best as (select c.name, c.repo, p.node_id, row_number() over (partition by c.name, c.repo order by case when split_part(p.file_path, '/', 1) = c.repo then 0 else 1 end, p.node_id) as r from cand c join (select distinct node_id, name, file_path from parsed_nodes) p using (name))
-    select name, repo, node_id from best where r = 1""")
-def linker_priority_join(spark, d):
-    cand = table(spark, d, "edge_candidates").filter("target_name NOT LIKE '%.%'").select(F.col("target_name").alias("name"), "repo").distinct()
-    nodes = table(spark, d, "parsed_nodes").select("node_id", "name", "file_path").distinct()
-    rank = F.when(F.regexp_extract("file_path", "^([^/]*)", 1) == F.col("repo"), 0).otherwise(1)
-    return cand.join(nodes, "name").groupBy("name", "repo").agg(F.min(F.struct(rank.alias("r"), "node_id")).alias("m")).select("name", "repo", "m.node_id")
+_LINK = r"""with n as (select node_id as id, arg_max(name, row_seq) as name, arg_max(file_path, row_seq) as file_path, max(row_seq) as seq from parsed_nodes group by 1),
+    cand as (select c.source_id, c.target_name, c.type, n.file_path as path, regexp_extract(target_name, '[^.]*$') as name, regexp_extract(target_name, '^[^.]*') as alias
+      from (select distinct source_id, target_name, edge_type as type from edge_candidates where source_id <> '' and target_name <> '') c join n on n.id = c.source_id),
+    own as (select file_path as path, name, arg_min(id, seq) as id from n group by 1, 2),
+    imp as (select distinct n.file_path as path, regexp_extract(target_name, '^[^.]*') as alias, regexp_replace(target_file_hint, '\.[^./]*$', '') as module from edge_candidates e join n on n.id = e.source_id where target_file_hint <> '' and contains(target_name, '.')),
+    met as (select c.source_id, c.target_name, c.type, (0, 0, 0::bigint, o.id) as m from cand c join own o using (path, name) where c.name = c.target_name or c.alias in ('self', 'cls')
+      union all select c.source_id, c.target_name, c.type, (1, case when x.file_path = i.module or x.bare = i.module or ends_with(x.bare, '/' || i.module) then 0 when regexp_extract(x.bare, '[^/]*$') = regexp_extract(i.module, '[^/]*$') then 1 else 2 end, x.seq, x.id)
+      from cand c join imp i using (path, alias) join (select *, regexp_replace(file_path, '\.[^./]*$', '') as bare from n) x on x.name = c.name),
+    best as (select source_id, target_name, type, min(m) as m from met group by 1, 2, 3)
+    select c.source_id, c.type, coalesce(b.m[4], '::' || c.target_name || '::') as target_id, case when b.m is null then 'unresolved' when b.m[1] = 0 then 'same_file' else 'import' end as by
+    from cand c left join best b on b.source_id = c.source_id and b.target_name = c.target_name and b.type is not distinct from c.type"""
+
+
+@query(_LINK)
+def linker(spark, d):
+    """Every edge candidate with the node it means; imports are what hints say of dotted names."""
+    e, last = table(spark, d, "edge_candidates"), lambda c: F.max_by(c, "row_seq").alias(c)
+    nodes = table(spark, d, "parsed_nodes").filter("node_id IS NOT NULL").groupBy(F.col("node_id").alias("id")).agg(last("name"), last("file_path"), F.max("row_seq").alias("seq"))
+    nodes = stage(nodes, "nodes")
+    where = nodes.select(F.col("id").alias("source_id"), F.col("file_path").alias("path"))
+    cand = e.filter("source_id <> '' AND target_name <> ''").select("source_id", "target_name", F.col("edge_type").alias("type")).distinct().join(where, "source_id").withColumn("hint", F.lit(""))
+    dotted = e.filter("target_file_hint <> '' AND contains(target_name, '.')").join(where, "source_id")
+    imports = dotted.select("path", F.regexp_extract("target_name", r"^([^.]*)", 1).alias("alias"), F.regexp_replace("target_file_hint", r"\.[^./]*$", "").alias("module"), F.lit("").alias("name")).distinct()
+    return ingest.link(cand, nodes, imports).select("source_id", "type", "target_id", "by")
 
 
 @query("select file_path, content_hash from parsed_files f where doc_id is not null and exists (select 1 from parsed_files g where g.file_path = f.file_path and g.content_hash <> f.content_hash) group by 1, 2")

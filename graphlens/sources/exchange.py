@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hmac
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +74,17 @@ def restore(spark: SparkSession, folder: str, label: str | None = None) -> Graph
 
 
 def signed(graph: Graph, secret: str) -> DataFrame:
-    """(root, nodes, edges, signature): the tree's hash and counts, signed with a shared secret."""
+    """(root, nodes, edges, signature): the tree's hash and counts, with an HMAC-SHA-256 of them under a shared secret."""
     from graphlens.operators.sets import merkle
 
-    root = merkle(graph.nodes).filter("path = '' AND depth = 0").select(F.col("hash").alias("root"), "nodes")
-    out = root.withColumn("edges", F.lit(graph.edges.count()))
-    return out.withColumn("signature", F.sha2(F.concat_ws(":", F.lit(secret), "root", "nodes", "edges"), 256))
+    root = merkle(graph.nodes).filter("path = '' AND depth = 0").select("hash", "nodes").first()
+    edges = graph.edges.count()
+    text = ":".join((root.hash if root else "", str(root.nodes if root else 0), str(edges)))
+    mark = hmac.new(secret.encode(), text.encode(), "sha256").hexdigest()
+    return graph.spark.createDataFrame([(root.hash if root else None, root.nodes if root else 0, edges, mark)], "root string, nodes bigint, edges bigint, signature string")
+
+
+def verify(graph: Graph, signature: DataFrame, secret: str) -> bool:
+    """Whether a graph is the one that was signed with the secret."""
+    said, now = signature.first(), signed(graph, secret).first()
+    return said is not None and hmac.compare_digest(said.signature, now.signature)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.session import ship
+from graphlens.session import ship, stage
 
 # What a scan leaves out, what it takes at most, and the extensions a watcher accepts.
 SKIPPED = ("node_modules", "__pycache__", "venv", "dist", "build")
@@ -136,8 +136,6 @@ def link(candidates: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFra
     ``nodes``: (id, name, file_path, seq); ``imports``: (path, alias, module, name).
     """
     c = candidates.withColumn("_row", F.monotonically_increasing_id())
-    from graphlens.session import stage
-
     c = stage(c, "candidates")
     by_id = c.filter("hint = 'id'").select("source_id", F.col("target_name").alias("target_id"), "type", F.lit("id").alias("by"))
     open_ = c.filter("hint <> 'id'")
@@ -148,10 +146,9 @@ def link(candidates: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFra
     same = named.filter("name = target_name OR alias IN ('self', 'cls')").join(own, ["path", "name"]).select("_row", F.lit(0).alias("rule"), F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("seq"), "target_id")
     known = imports.select("path", "alias", "module", F.col("name").alias("original"))
     meant = named.join(known, ["path", "alias"]).select("_row", F.when((F.col("name") == F.col("alias")) & (F.col("original") != ""), F.col("original")).otherwise(F.col("name")).alias("name"), "module")
-    everywhere = nodes.select(F.col("id").alias("target_id"), "name", F.col("file_path"), "seq")
-    stem = F.regexp_replace(F.regexp_extract("file_path", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    place = F.when((F.col("file_path") == F.col("module")) | F.regexp_replace("file_path", r"\.pyi?$", "").endswith(F.col("module")), 0).when(stem == F.regexp_extract("module", r"([^/]*)$", 1), 1).otherwise(2)
-    cross = meant.join(everywhere, "name").select("_row", F.lit(1).alias("rule"), place.alias("place"), "seq", "target_id")
+    meant = stage(meant, "meant")
+    found = _imported(meant.select("name", "module").distinct(), nodes)
+    cross = meant.join(found, ["name", "module"]).select("_row", F.lit(1).alias("rule"), "place", "seq", "target_id")
     best = same.unionByName(cross).groupBy("_row").agg(F.min(F.struct("rule", "place", "seq", "target_id")).alias("m"))
     done = named.join(best, "_row", "left")
     by = F.when(F.col("m").isNull(), "unresolved").when(F.col("m.rule") == 0, "same_file").otherwise("import")
@@ -159,6 +156,27 @@ def link(candidates: DataFrame, nodes: DataFrame, imports: DataFrame) -> DataFra
     return by_id.unionByName(done.select("source_id", target.alias("target_id"), "type", by.alias("by")))
 
 
+def _imported(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name, module, place, seq, target_id): what a name imported from a module means, the nearest place first.
+
+    Place 0: the module is the file's path, with or without extension, or its
+    last folders; 1: it ends in the file's name; 2: anywhere. Each place is a
+    table with one row a key, so a name that many nodes have and many files
+    import is no product of both.
+    """
+    first = F.min(F.struct("seq", F.col("id").alias("target_id"))).alias("n")
+    bare = F.regexp_replace("file_path", r"\.[^./]*$", "")
+    parts = F.split(bare, "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    by_path = nodes.select("id", "name", "seq", F.explode(F.array_distinct(F.concat(ends, F.array("file_path")))).alias("module")).groupBy("name", "module").agg(first)
+    by_stem = nodes.select("id", "name", "seq", F.element_at(parts, -1).alias("stem")).groupBy("name", "stem").agg(first)
+    anywhere = nodes.groupBy("name").agg(first)
+    asked = wanted.withColumn("stem", F.regexp_extract("module", r"([^/]*)$", 1))
+    met = asked.join(by_path.withColumnRenamed("n", "p0"), ["name", "module"], "left").join(by_stem.withColumnRenamed("n", "p1"), ["name", "stem"], "left").join(anywhere.withColumnRenamed("n", "p2"), "name")
+    place = F.when(F.col("p0").isNotNull(), 0).when(F.col("p1").isNotNull(), 1).otherwise(2)
+    return met.select("name", "module", place.alias("place"), F.coalesce("p0", "p1", "p2").alias("n")).select("name", "module", "place", "n.seq", "n.target_id")
+
+
 def unresolved(linked: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, uses, candidates): names that stayed placeholders, with how many nodes are called so."""
     name = F.regexp_extract("target_id", r"^::(?:.*\.)?([^.]*)::$", 1)
@@ -171,6 +189,35 @@ def changed_files(files: DataFrame, status: DataFrame) -> DataFrame:
     return files.join(status.select(F.col("file_path").alias("path"), F.col("content_hash").alias("_kept")), "path", "left").filter(~F.col("content_hash").eqNullSafe(F.col("_kept"))).drop("_kept")
 
 
+def parse_status(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, status, content_hash): parsed, error, stale (the text has changed since) or not_parsed, for every file (path, content_hash)."""
+    kept = parsed.select("path", F.col("content_hash").alias("kept"), F.col("error").isNotNull().alias("bad"))
+    status = F.when(F.col("kept").isNull(), "not_parsed").when(~F.col("kept").eqNullSafe(F.col("content_hash")), "stale").when(F.col("bad"), "error").otherwise("parsed")
+    return files.select("path", "content_hash").join(kept, "path", "left").select("path", status.alias("status"), "content_hash")
+
+
+def ensure_parsed(parsed: DataFrame, files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``parsed`` with the asked files (path) brought up to date, all by default: new and changed ones are parsed, vanished ones go.
+
+    ``files``: (path, content). One pass from text to replaced rows: what is
+    as it was is not parsed again. A null content counts as empty.
+    """
+    import hashlib
+
+    @F.pandas_udf("string")
+    def hashed(content):
+        return content.map(lambda c: hashlib.blake2b(c or b"", digest_size=8).hexdigest())
+
+    now = files.filter("path IS NOT NULL").select("path", F.coalesce(F.col("content").cast("binary"), F.lit(b"").cast("binary")).alias("content"))
+    wanted = now if asked is None else now.join(asked.select("path").distinct(), "path", "left_semi")
+    todo = wanted.withColumn("content_hash", hashed("content")).join(parsed.select("path", F.col("content_hash").alias("kept")), "path", "left").filter(~F.col("content_hash").eqNullSafe(F.col("kept")))
+    new = stage(parse(todo.select("path", "content")), "parsed")
+    gone = parsed.select("path") if asked is None else parsed.select("path").join(asked.select("path").distinct(), "path", "left_semi")
+    gone = gone.join(now.select("path"), "path", "left_anti")
+    kept = parsed.join(new.select("path"), "path", "left_anti").join(gone, "path", "left_anti")
+    return kept.select(*parsed.columns).unionByName(new.select(*parsed.columns))
+
+
 def replace_files(nodes: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     """Nodes with those of the given files (file_path) put in the old ones' place."""
     return nodes.join(files.select("file_path").distinct(), "file_path", "left_anti").select(*nodes.columns).unionByName(new.select(*nodes.columns))

@@ -64,16 +64,22 @@ def changes_only(events: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def reparse(batch: DataFrame, read, write, delete) -> None:
-    """One micro-batch: each path once, by its last event; deleted files go, others are parsed in order of priority.
+    """One micro-batch: each path once, by its last event; deleted files go, others are parsed, the most urgent first.
 
     ``read(paths)`` gives (path, content), ``write(parsed)`` and
-    ``delete(paths)`` store the outcome; all take DataFrames.
+    ``delete(paths)`` store the outcome; all take DataFrames. A batch with a
+    column ``priority`` (see ``scalar.parse_priority``) is written in classes
+    of ten, lowest first: a class is there before the next one is begun.
     """
+    from graphlens.session import stage
     from graphlens.sources.ingest import parse
 
-    last = batch.groupBy("path").agg(F.max_by("event_type", F.struct("ts", "event_type")).alias("event_type"))
+    rank = F.min("priority") if "priority" in batch.columns else F.min(F.lit(0))
+    last = stage(batch.groupBy("path").agg(F.max_by("event_type", F.struct("ts", "event_type")).alias("event_type"), F.floor(F.coalesce(rank, F.lit(99)) / 10).alias("class")), "events")
     delete(last.filter("event_type = 'deleted'").select("path"))
-    write(parse(read(last.filter("event_type <> 'deleted'").select("path"))))
+    todo = last.filter("event_type <> 'deleted'")
+    for (k,) in sorted(tuple(r) for r in todo.select("class").distinct().collect()):  # priorities are below 100
+        write(parse(read(todo.filter(F.col("class") == k).select("path"))))
 
 
 def lease_steps(requests: list[tuple], state: tuple | None) -> tuple[list[tuple], tuple | None]:
@@ -140,6 +146,19 @@ def rate_limit(calls: DataFrame, limit: int, window: float = RATE_SECONDS) -> Da
     return calls.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, allowed boolean", "kept array<double>", "append", "NoTimeout")
 
 
+def calls_in_window(calls: DataFrame, key: str, seconds: float = RATE_SECONDS, ts: str = "ts") -> DataFrame:
+    """(key, ts, n): how many calls of a key lie in the window that ends at each of its calls, itself included; equal times once.
+
+    Counts per time are summed over the window, so equal times are one row
+    before any key is gathered.
+    """
+    from pyspark.sql import Window
+
+    at = calls.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(key, ts).agg(F.count("*").alias("k"))
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-round(seconds * 1e6) + 1, 0)
+    return at.select(key, ts, F.sum("k").over(w).alias("n"))
+
+
 def windowed_counts(events: DataFrame, by: list[str], window: str = "5 minutes", slide: str | None = None, late: str | None = "10 minutes") -> DataFrame:
     """(start, end, by..., n): counts by event time; ``late`` is the watermark, None keeps all late rows."""
     rows = events.withWatermark("ts", late) if late and events.isStreaming else events

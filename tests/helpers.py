@@ -25,6 +25,19 @@ def session() -> SparkSession:
     return spark
 
 
+def database(folder: str):
+    """DuckDB with a view for each table of a folder."""
+    from pathlib import Path
+
+    import duckdb
+
+    c = duckdb.connect()
+    for p in sorted(Path(folder).glob("*.parquet")):
+        c.execute(f"create view {p.stem} as select * from read_parquet('{p if p.is_file() else f'{p}/*.parquet'}')")
+    c.execute("set timezone='UTC'")
+    return c
+
+
 def _plain(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return "~"

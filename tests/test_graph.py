@@ -249,18 +249,6 @@ def test_vector_neighbors_of_many_rows(spark, tmp_path):
     assert vectors.many_top_k(e.limit(0), queries.limit(0)).count() == 0
 
 
-def test_checksums_of_all_documents(spark):
-    import zlib
-
-    import __spark_entry__ as entry
-    from tests.helpers import SF
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    want = {(r.doc_id, zlib.crc32((r.text or "").encode())) for r in docs}
-    got = [tuple(r) for r in entry.queries()["checksums"](spark, SF).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
-
-
 def test_whole_graph_queries_see_every_node(spark):
     import __spark_entry__ as entry
     from graphlens.queries import graph as whole
@@ -315,3 +303,27 @@ def test_hub_under_a_cap(spark):
     nodes = edges.selectExpr("target_id as id", "seq").unionByName(spark.createDataFrame([("a", -1)], "id string, seq long"))
     got = traverse.traverse(Graph.from_flat(nodes, edges), "a", ["CALLS"], 3, 50).collect()
     assert len(got) == 3003 and sorted(r.rank for r in got) == list(range(3003)) and "c" not in {r.id for r in got}
+
+
+def test_journal(spark, tmp_path):
+    log = changelog.Journal(spark, f"file://{tmp_path}/log")
+    assert log.read().count() == 0
+    rows = lambda *x: spark.createDataFrame([(k, r, key, None, None) for k, (r, key) in enumerate(x)], "at int, rtype string, key string, tx_id long, payload string")
+    assert log.append(rows(("BEGIN", None), ("NODE_UPSERT", "a"), ("COMMIT", None)), ["at"]) == 3
+    assert log.append(rows(("NODE_UPSERT", "b"), ("NODE_DELETE", "a")), ["at"]) == 5 and log.append(rows().limit(0), ["at"]) == 5
+    assert [(r.seq, r.rtype) for r in log.read().orderBy("seq").collect()] == [(0, "BEGIN"), (1, "NODE_UPSERT"), (2, "COMMIT"), (3, "NODE_UPSERT"), (4, "NODE_DELETE")]
+    assert {r.key for r in changelog.replay(log.read())["nodes"].collect()} == {"b"}
+
+
+def test_collection(spark, tmp_path):
+    c = vectors.Collection(spark, f"file://{tmp_path}/v", 2)
+    put = lambda *x: c.upsert(spark.createDataFrame([(i, e, {"f": i or ""}, "d") for i, e in x], "id string, embedding array<float>, metadata map<string,string>, document string"))
+    assert c.live().count() == 0
+    put(("a", [1.0, 0.0]), ("b", [0.0, 1.0]), (None, [0.0, 1.0]))
+    put(("a", [0.0, 2.0]))
+    c.delete(spark.createDataFrame([("b",), ("z",)], "id string"))
+    assert [(r.id, list(r.embedding)) for r in c.live().collect()] == [("a", [0.0, 2.0])] and c.get(spark.createDataFrame([("b",)], "id string")).count() == 0
+    with pytest.raises(ValueError):
+        put(("q", [1.0]))
+    c.clear()
+    assert c.live().count() == 0

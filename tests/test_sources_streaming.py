@@ -68,6 +68,7 @@ def test_exchange(spark, tmp_path):
     assert json.loads(exchange.to_json(g.edges.select("type")).first().json) == {"type": "CALLS"}
     a = exchange.signed(g, "k").first().signature
     assert a == exchange.signed(g, "k").first().signature != exchange.signed(g, "other").first().signature
+    assert exchange.verify(g, exchange.signed(g, "k"), "k") and not exchange.verify(Graph(g.nodes.limit(1), g.edges), exchange.signed(g, "k"), "k")
     g.register("t_")
     assert spark.sql("select count(*) from t_nodes").first()[0] == 2
 
@@ -111,3 +112,42 @@ def test_control(spark):
     saved = control.checkpoint(g, files)
     assert control.rollback_report(saved, g).count() == 0
     assert control.guard(g.nodes.select("id"), g, files).first().verdict == "block"
+    proposed = spark.createDataFrame([("b", "f.py", ""), ("c", "g.py", "")], "id string, file_path string, signature string")
+    assert {(r.id, r.change, r.verdict) for r in control.dry_run(g, proposed, files).collect()} == {("a", "removed", "block"), ("b", "added", "block"), ("c", "added", "allow")}
+
+
+def test_sessions(spark):
+    import datetime
+
+    at = lambda h: datetime.datetime(2025, 1, 1, h)
+    none = spark.createDataFrame([], "session_id string, agent_id string, task string, scope array<string>, mode string, status string, ts timestamp")
+    e = control.open_session(none, "s", "a", "t", ["f"], "write", at(1))
+    assert control.open_session(e, "s", "a", "t", ["f"], "write", at(2)).count() == 1
+    locks = spark.createDataFrame([("f", "s", at(1), at(9), 1), ("g", "s", at(1), at(2), 2)], "file_path string, session_id string, acquired_at timestamp, expires_at timestamp, fencing_token long")
+    r = control.recover_sessions(e, locks, at(3)).first()
+    assert (r.session_id, r.files, r.started_at) == ("s", ["f"], at(1))
+    closed = control.close_session(e, "s", at(4))
+    assert control.latest_sessions(closed).first().status == "closed" and control.close_session(closed, "s", at(5)).count() == 2 and control.recover_sessions(closed, locks, at(3)).count() == 0
+
+
+def test_parse_on_demand(spark):
+    files = lambda *x: spark.createDataFrame([(p, None if t is None else bytearray(t, "utf-8")) for p, t in x], "path string, content binary")
+    one = ingest.ensure_parsed(ingest.parse(files().limit(0)), files(("a.py", "def f(): pass\n"), ("b.py", "def (:"), ("c.py", None), (None, "x")))
+    names = lambda parsed: {r.path: sorted(n["name"] for n in r.nodes) for r in parsed.collect()}
+    assert names(one) == {"a.py": ["a.py", "f"], "b.py": [], "c.py": ["c.py"]}
+    now = files(("a.py", "def g(): pass\n"), ("c.py", ""), ("d.py", "x = 1"))
+    from graphlens.functions.scalar import content_hash
+
+    hashed = now.select("path", content_hash()(F.col("content").cast("string")).alias("content_hash"))
+    assert {r.path: r.status for r in ingest.parse_status(one, hashed).collect()} == {"a.py": "stale", "c.py": "parsed", "d.py": "not_parsed"}
+    some = ingest.ensure_parsed(one, now, spark.createDataFrame([("d.py",)], "path string"))
+    assert set(names(some)) == {"a.py", "b.py", "c.py", "d.py"} and names(some)["a.py"] == ["a.py", "f"]
+    assert names(ingest.ensure_parsed(some, now)) == {"a.py": ["a.py", "g"], "c.py": ["c.py"], "d.py": ["d.py"]}
+
+
+def test_reparse_by_priority(spark):
+    rows = [("a.py", "modified", 1, 45), ("b.py", "created", 1, 5), ("c.py", "deleted", 2, 5), ("c.py", "created", 1, 5), ("d.py", "modified", 1, 3)]
+    batch = spark.createDataFrame(rows, "path string, event_type string, ts int, priority int")
+    written, gone = [], []
+    pipelines.reparse(batch, lambda p: p.select("path", F.lit("x = 1").alias("content")), lambda out: written.append({r.path for r in out.collect()}), lambda p: gone.extend(r.path for r in p.collect()))
+    assert written == [{"b.py", "d.py"}, {"a.py"}] and gone == ["c.py"]
