@@ -329,7 +329,8 @@ def _titles(total: DataFrame, behind: DataFrame) -> DataFrame:
     named = name_terms(F.coalesce("named", F.lit(0)), F.coalesce("plain", F.lit(0)), every.named or 0, every.plain or 0)
     least = math.log(LIKELIER)
     some = total.filter((F.col("last") == 0) & (F.col("low") == 0) & (n > 0)).filter(dotted >= least)
-    return some.join(told, "word", "left").filter(inside + named >= least).select("word")
+    # a name may also be a common word ('Alt'), so names only ever add to the evidence
+    return some.join(told, "word", "left").filter(inside + F.greatest(named, F.lit(0.0)) >= least).select("word")
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

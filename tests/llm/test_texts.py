@@ -75,14 +75,14 @@ def test_evidence_does_without_the_lists(monkeypatch):
     for w, (low, high, end, without) in total.items():
         n = low + high + end
         dotted, inside = sentences.title_terms(n, end, dots, bare, up, last, without)
-        inside += sentences.name_terms(named[w], plain[w], sum(named.values()), sum(plain.values()))
+        inside += max(0, sentences.name_terms(named[w], plain[w], sum(named.values()), sum(plain.values())))
         if n >= sentences.SEEN and low >= sentences.SHARE * n or n and not end and not low and dotted >= least and inside >= least:
             corpus[w] = not (n and not end and not low) and (end > 0 or high == 0)
     with_lists = [set(sentences.split(t, corpus)) for t in rows]
     monkeypatch.setattr(sentences, "NEVER_LAST", frozenset())
     monkeypatch.setattr(sentences, "MAY_BE_LAST", frozenset())
     same = sum(len(a & set(sentences.split(t, corpus))) for a, t in zip(with_lists, rows))
-    assert same >= 0.99 * sum(map(len, with_lists))
+    assert same >= 0.995 * sum(map(len, with_lists))
 
 
 def test_sentences_in_spark(spark):
