@@ -11,10 +11,13 @@ statement is rejected. Documentation that says nothing is dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.llm.syntax.lexing import LANGUAGES, rules
+
 # Notices that documentation is absent or still to be written.
 NOTICES = """todo|fixme|tbd|tba|wip|xxx|hack|n/?a|none|null|nil|empty|missing|pending|undocumented|not documented( yet)?|docstring|doc ?string here|summary( line)?|description|short description|documentation|docs|no ?docs?|no comment|placeholder( text)?|inherit ?docs?|see (above|below|base class)|as above|same as above|self[- ]explanatory
 |placeholder[ ,].*(later|filled|replaced).*|(write|add|insert|put|fill in|provide) .*(documentation|docs|docstring|description|comment|summary)\\b.*|(documentation|docs|docstring|description|comment|summary) (is |are |to be |will be |goes |go )*(missing|pending|needed|required|written|added|follows?|later|here|tbd|todo|coming soon|to follow|follow)\\b.*|no (description|documentation|docs|docstring|comment|summary)\\b.*|(to be|still to be|needs to be|will be|must be) (documented|written|described|done|added|filled|completed|determined|defined|announced)\\b.*|needs (documentation|docs|a description|a docstring)\\b.*|lorem ipsum.*
@@ -93,14 +96,76 @@ def says_something(doc: str | None, name: str | None, signature: str | None) ->
     return False
 
 
-_BLOCK_DOC = re.compile(r"/\*\*(?!/)[\s\S]*?\*/|/\*[\s\S]*?\*/")
 _DEF = re.compile(r"(?:async[ \t]+)?def\b")
+_NESTED = re.compile(r"/\*|\*/")
+_TEMPLATE = re.compile(r"\\[\s\S]|(?P<e>`)|(?P<i>\$\{)")
+_EMBEDDED = re.compile(rf"{rules('javascript').scan.pattern}|(?P<o>[{{}}])")
+_IN_STRING = re.compile(r"\\[\s\S]|(?P<c>/\*[\s\S]*?\*/)|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
+
+
+def _string_comments(text: str, start: int, end: int):
+    """(start, end, string's end) of the comments in what was read as a string."""
+    for m in _IN_STRING.finditer(text, start, max(start, text.rfind("*/", start, end) + 2)):
+        if m.lastgroup:
+            yield m.start(), m.end(), end
+
+
+def _block_comments(text: str, lang: str):
+    """(start, end, 0) of the block comments of a whole text, whether it parses or not.
+
+    A quote left open turns the strings behind it inside out, so comments in
+    strings of several lines are given too, with the end of the string: they
+    count only for a function that begins within it, which none does where
+    the string is one.
+    """
+    scan, size = rules(lang).scan, len(text)
+    nested: dict[int, int] | None = None
+    pos, braces = 0, []  # braces: open ones in each embedded expression of a template
+    while m := (_EMBEDDED if braces else scan).search(text, pos):
+        kind, at, pos = m.lastgroup, m.start(), m.end()
+        if kind == "c":
+            if text.startswith("/*", at):
+                yield at, pos, 0
+        elif kind == "n":
+            if nested is None:
+                nested, opened = {}, []
+                for c in _NESTED.finditer(text):
+                    if c.group() == "/*":
+                        opened.append(c.start())
+                    elif opened:
+                        nested[opened.pop()] = c.end()
+            pos = nested.get(at) or text.find("*/", at + 2) + 2
+            if pos < at + 2:
+                return  # no comment ends behind it
+            yield at, pos, 0
+        elif kind == "o" and (m.group() == "{" or braces[-1]):
+            braces[-1] += 1 if m.group() == "{" else -1
+        elif kind in ("t", "o"):
+            if kind == "o":
+                braces.pop()
+            start, stop = pos, next((t for t in _TEMPLATE.finditer(text, pos) if t.lastgroup), None)
+            pos = stop.end() if stop else size
+            yield from _string_comments(text, start, pos)
+            if stop and stop.lastgroup == "i":
+                braces.append(0)
+        elif kind == "s":
+            line_end = text.find("\n", at, pos)
+            if line_end > 0:
+                yield from _string_comments(text, line_end, pos)
+        elif kind == "x":
+            line_end = text.find("\n", at)
+            if line_end < 0 or text[at] == "/":
+                return  # no comment ends behind it
+            if text.startswith({"rust": '"', "go": "`", "java": '"""'}.get(lang, "\n"), at):
+                yield from _string_comments(text, line_end, size)
+                return
+            # an apostrophe behind a letter is text of JSX; else the rest of the line cannot be told apart
+            if lang != "javascript" or not text[max(at - 1, 0)].isalnum():
+                pos = line_end
 
 
 def comment_spans(text: str, extension: str) -> list[tuple[int, int, int, str]]:
     """(line, first, last, text) of what may document a function; a function it belongs to begins in lines first..last."""
-    from graphlens.llm.syntax.lexing import LANGUAGES, rules
-
     lang = LANGUAGES.get(extension)
     if lang is None or not text:
         return []
@@ -108,14 +173,15 @@ def comment_spans(text: str, extension: str) -> list[tuple[int, int, int, str]]:
     starts = [0]
     for m in re.finditer("\n", text):
         starts.append(m.end())
-    from bisect import bisect_right
-
     line_of = lambda o: bisect_right(starts, o)  # noqa: E731 - from 1
     if lang == "python":
-        for m in rules(lang).scan.finditer(text):
+        scan, pos = rules(lang).scan, 0
+        while m := scan.search(text, pos):
+            pos = m.end()
+            if m.lastgroup == "x":
+                # the rest of the line cannot be told apart; what is behind it is read on
+                pos = starts[line_of(m.start())] if line_of(m.start()) < len(starts) else len(text)
             if m.lastgroup != "s":
-                if m.lastgroup == "x":
-                    break
                 continue
             line_start = starts[line_of(m.start()) - 1]
             if not text[line_start : m.start()].strip():
@@ -123,9 +189,18 @@ def comment_spans(text: str, extension: str) -> list[tuple[int, int, int, str]]:
                 head = _header_line(text, line_start, starts, line_of)
                 if head:
                     out.append((line_of(m.start()), head, head, m.group()))
+            quotes = m.group()[-3:]
+            if quotes in ('"""', "'''") and "\n" in m.group():
+                # where quotes were left open, closing ones are those that open a docstring, of a function within the string
+                at = pos - 3
+                line_start = starts[line_of(at) - 1]
+                head = 0 if text[line_start:at].strip(" \t\frRuU") else _header_line(text, line_start, starts, line_of)
+                end = text.find(quotes, pos) if head > line_of(m.start()) else -1
+                if end > 0:
+                    out.append((line_of(at), head, head, text[at : end + 3]))
         return out
     lines = text.split("\n")
-    spans: list[tuple[int, int, str]] = []
+    spans: list[tuple[int, int, int, str]] = []
     if lang in ("go", "rust"):
         mark = "///" if lang == "rust" else "//"
         k, n = 0, len(lines)
@@ -135,21 +210,19 @@ def comment_spans(text: str, extension: str) -> list[tuple[int, int, int, str]]:
                 j = k
                 while j + 1 < n and lines[j + 1].strip().startswith(mark):
                     j += 1
-                spans.append((k + 1, j + 1, "\n".join(x.strip() for x in lines[k : j + 1])))
+                spans.append((k + 1, j + 1, n + 1, "\n".join(x.strip() for x in lines[k : j + 1])))
                 k = j
             k += 1
     if "/**" in text or (lang == "go" and "/*" in text):
-        for m in rules(lang).scan.finditer(text):
-            if m.lastgroup == "c" and m.group().startswith("/**" if lang != "go" else "/*") or (m.lastgroup == "n" and text.startswith("/**", m.start())):
-                whole = m.group()
-                if m.lastgroup == "n":
-                    end = text.find("*/", m.start())
-                    whole = text[m.start() : end + 2] if end > 0 else ""
-                if whole and whole != "/**/":
-                    spans.append((line_of(m.start()), line_of(m.start() + len(whole) - 1), whole))
-            elif m.lastgroup == "t":
-                break
-    for first, last, body in spans:
+        for start, end, string_end in _block_comments(text, lang):
+            body = text[start:end]
+            if body.startswith("/**" if lang != "go" else "/*") and body != "/**/":
+                within = len(lines) + 1
+                if string_end:
+                    within = line_of(string_end - 1)
+                    within -= not text[starts[within - 1] : string_end].strip().strip("\"'`#${")
+                spans.append((line_of(start), line_of(end - 1), within, body))
+    for first, last, within, body in spans:
         k = last
         if lang == "go":
             stop = last + 1 if k < len(lines) and lines[k].strip() else last
@@ -160,8 +233,8 @@ def comment_spans(text: str, extension: str) -> list[tuple[int, int, int, str]]:
                     break
                 k += 1
             stop = k + 1
-        if stop > last:
-            out.append((first, last + 1, stop, body))
+        if min(stop, within) > last:
+            out.append((first, last + 1, min(stop, within), body))
     return out
 
 
@@ -214,8 +287,6 @@ def pairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     functions = current.filter(F.lower("r.type").isin("function", "method")).select("node_id", "r.file_path", "r.name", "r.signature", "r.docstring", "r.start_line")
     blank = F.coalesce(F.trim(F.regexp_replace("docstring", r"\s+", " ")), F.lit("")) == ""
     from_column = functions.filter(~blank).withColumn("documentation", F.col("docstring"))
-    from graphlens.llm.syntax.lexing import LANGUAGES
-
     asked = functions.filter(blank & F.col("file_path").isNotNull() & F.col("start_line").isNotNull())
     texts = docs.filter("file_path IS NOT NULL AND text IS NOT NULL").select("file_path", "text", F.lower(F.regexp_extract("file_path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext")).filter(F.col("ext").isin(sorted(LANGUAGES)))
 

@@ -174,6 +174,39 @@ def test_pairs(spark):
     assert docpairs.pairs(nodes.limit(0), docs).count() == 0
 
 
+def test_pairs_behind_odd_places(spark):
+    """Documentation is found in whole texts, behind templates and quotes or comments left open too."""
+    one = {
+        "py": 'def f{i}(a):\n    """Reads it, which isn\'t # all."""\n    return "v"\n\n',
+        "ts": '/** Reads it, isn\'t "all". */\nfunction f{i}() {{\n  return `a ${{b}}\n c` + "v";\n}}\n\n',
+        "java": '/** Reads it. */\nvoid f{i}() {{ var s = """\n  a\n  """; }}\n\n',
+        "go": "/* Reads it. */\nfunc f{i}() {{ x := `a\nb`\n}}\n\n",
+        "rs": '/** Reads it. */\nfn f{i}() {{ let s = "v"; }}\n\n',
+    }
+    odd = {
+        "py": ['x = "open\n', 'x = f"{\n  a\n}"\n', 'def g():\n    """Left open\n    return a\n\n', '"""\n', "x = 'a' 'b\n"],
+        "ts": ["x = `a`;\n", "x = `a ${b + `c ${d}`} e`;\n", "x = `a ${ {y: '}'} /* it's ` */ }`;\n", "x = `open;\n", "x = 'open /* y;\n", "<p>Don't {`\n a ${b}\n`}</p>\n", "x => /`/.test(y);\n", "x = `src/**`;\n"],
+        "java": ['var s = """\n open\n', 'var s = "open /* x;\n'],
+        "go": ["x := `open\n", 'x := "open\n'],
+        "rs": ['/** A 5" disk */\nstruct A;\n', "/* it's /* nested */ \" */\n", "/* src/*.rs */\n", 'let s = "open;\n', '/* r#" */\n'],
+    }
+    files, nodes = [], []
+    for ext, places in odd.items():
+        for k, place in enumerate(["", *places]):
+            text = "".join(one[ext].format(i=i) for i in range(2)) + place + "".join(one[ext].format(i=i) for i in range(2, 6))
+            files.append((f"r/{k}.{ext}", text))
+            nodes += [(f"{ext} {place} {i}", f"r/{k}.{ext}", text[: text.index(f" f{i}(")].count("\n") + 1) for i in range(6)]
+    # what stands in a string documents nothing behind it
+    strings = [("ts", "x = `\n/** Not its own. */\n`;\nfunction f() {}\n"), ("ts", "x = `\n/** Not its own. */\n`; function f() {}\n"), ("ts", "x = `/** Not its own. */`\nfunction f() {}\n"), ("rs", 'let x = "\n/** Not its own. */\n";\nfn f() {}\n'), ("go", "x := `\n/* Not its own. */\n`\nfunc f() {}\n")]
+    for k, (ext, text) in enumerate(strings):
+        files.append((f"s/{k}.{ext}", text))
+        nodes.append((f"string {k}", f"s/{k}.{ext}", text[: text.index(" f(")].count("\n") + 1))
+    columns = "node_id string, file_path string, type string, name string, signature string, docstring string, start_line int, row_seq long"
+    got = docpairs.pairs(spark.createDataFrame([(i, p, "Function", "f", None, None, line, 1) for i, p, line in nodes], columns), spark.createDataFrame(files, "file_path string, text string")).collect()
+    assert {r.node_id for r in got} == {i for i, p, _ in nodes if p[0] == "r"}
+    assert all("Reads it" in r.documentation and len(r.documentation) < 50 for r in got)
+
+
 def test_attribute_globs(spark):
     files = spark.createDataFrame([(p, "x = 1") for p in ("r/gen/a.py", "r/gen/keep.py", "r/src/b.pb.go", "r/src/deep/c.pb.go", "r/third/x.js", "s/gen/a.py", "r/src/deep/z.txt")] + [(None, "q")], "file_path string, text string")
     attributes = spark.createDataFrame([("r/.gitattributes", "# c\ngen/** linguist-generated\ngen/keep.py -linguist-generated\n*.pb.go linguist-generated=true\nthird/ linguist-vendored\n*.txt text"), ("r/src/deep/.gitattributes", "*.pb.go linguist-generated=false"), ("s/.gitattributes", None)], "file_path string, text string")
