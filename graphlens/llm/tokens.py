@@ -27,6 +27,8 @@ FOLDER = "/opt/tokenizers"
 FREQUENT, LONGEST = 2**17, 64
 #: Distinct words a task counts before it passes them on.
 FLUSH = 200_000
+#: Bytes of text that a worker takes from an Arrow batch, and whose ids it hands back, at a time.
+PART = 2**20
 
 # The split pattern of the byte-level vocabularies, once for all of Unicode and once for ASCII texts.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -66,6 +68,20 @@ def splitter():
     return split
 
 
+def _parts(batches):
+    """The batches in slices of at most PART bytes of text, which is the first column, or of one row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        start = size = 0
+        for k, n in enumerate(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()):
+            if k > start and size + n > PART:
+                yield batch.slice(start, k - start)
+                start, size = k, 0
+            size += n
+        yield batch.slice(start)
+
+
 def word_table(texts: DataFrame, text: str, ranks: list[tuple[bytes, int]]) -> DataFrame:
     """(word, n, ids): each distinct word of all texts once, with its count and ids. Null and '' texts have none."""
     import pyarrow as pa
@@ -74,7 +90,7 @@ def word_table(texts: DataFrame, text: str, ranks: list[tuple[bytes, int]]) -> D
 
     def count(batches):
         find, seen = splitter(), Counter()
-        for batch in batches:
+        for batch in _parts(batches):
             for t in batch.column(0).to_pylist():
                 if t:
                     seen.update(find(t))
@@ -125,7 +141,7 @@ def _encoded(df: DataFrame, text: str, keep: tuple[str, ...], folder: str, vocab
 
     def look_up(batches):
         find, known = splitter(), table.value
-        for batch in batches:
+        for batch in _parts(batches):
             flat, ends, rares = array("i"), [0], []
             for t in batch.column(0).to_pylist():
                 found = find(t) if t else []

@@ -33,6 +33,23 @@ def test_encode(docs, reference, frequent, monkeypatch):
     assert sizes == {i: len(x) for i, x in got.items()}
 
 
+@pytest.mark.parametrize("encode", [tokens.encode, tokens.count_tokens])
+def test_batches_come_back_in_parts(docs, reference, encode, monkeypatch):
+    import pyarrow as pa
+
+    steps, original = {}, type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *more, **named: steps.update({f.__name__: f}) or original(self, f, *more, **named))
+    whole = {r.doc_id: r[-1] for r in encode(docs).collect()}
+    ids = [i for i, _ in TEXTS] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in TEXTS] * 1000), pa.array(ids, pa.int64())], names=["_text", "doc_id"])
+    parts = list(steps["look_up"]([batch.slice(0, 0), batch, batch.slice(9)]))
+    assert len(parts) > 9 and sum(p.nbytes for p in parts) > 4 * max(p.nbytes for p in parts)
+    assert [i for p in parts for i in p.column(0).to_pylist()] == ids + ids[9:]
+    assert all(x == whole[i] for p in parts for i, x, rare in zip(*(c.to_pylist() for c in p.columns)) if not rare)
+    long = pa.RecordBatch.from_arrays([pa.array(["a b" * 2**20, None, "", "c"]), pa.array([1, 2, 3, 4])], names=["_text", "doc_id"])
+    assert [p.num_rows for p in tokens._parts([long])] == [1, 3]
+
+
 def test_decode_and_empty(docs):
     back = {r.doc_id: r.text for r in tokens.decode(tokens.encode(docs)).collect()}
     assert back == {i: t or "" for i, t in TEXTS}
