@@ -46,7 +46,7 @@ def check(nodes: DataFrame) -> DataFrame:
 
 def integrity(graph: Graph, locks: DataFrame | None = None, sessions: DataFrame | None = None) -> DataFrame:
     """(problem, source_id, target_id, type): edges from no node, edges to no node (placeholders '::name::' excepted), locks of unknown sessions."""
-    known = graph.nodes.select("id")
+    known = graph.ids
     orphan = graph.edges.join(known.withColumnRenamed("id", "source_id"), "source_id", "left_anti").select(F.lit("orphan").alias("problem"), "source_id", "target_id", "type")
     dangling = graph.edges.filter(~F.col("target_id").startswith("::")).join(known.withColumnRenamed("id", "target_id"), "target_id", "left_anti").select(F.lit("dangling").alias("problem"), "source_id", "target_id", "type")
     out = orphan.unionByName(dangling)

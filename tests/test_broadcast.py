@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from graphlens.operators import telemetry
+from graphlens.operators import sets, telemetry
 from graphlens.session import Staged
 from graphlens.store import Graph
 
@@ -60,3 +60,9 @@ def test_reading_plans(graph):
 def test_edges_by_type(graph):
     out = telemetry.edges_by_type(graph)
     assert "nodes" not in broadcast(plan(out)) and out.count() == 78
+
+
+def test_integrity(graph):
+    some = Graph(graph.nodes.filter("seq <> 7"), graph.edges)
+    out = sets.integrity(some)
+    assert "nodes" not in broadcast(plan(out)) and {tuple(r)[:3] for r in out.collect()} == {("orphan", "n7", "n8"), ("dangling", "n6", "n7")}
