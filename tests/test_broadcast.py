@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from graphlens.operators import sets, telemetry
+from graphlens.operators import sets, telemetry, traverse
 from graphlens.session import Staged
 from graphlens.store import Graph
 
@@ -66,3 +66,9 @@ def test_integrity(graph):
     some = Graph(graph.nodes.filter("seq <> 7"), graph.edges)
     out = sets.integrity(some)
     assert "nodes" not in broadcast(plan(out)) and {tuple(r)[:3] for r in out.collect()} == {("orphan", "n7", "n8"), ("dangling", "n6", "n7")}
+
+
+def test_seed_walk(graph, staged):
+    out = traverse.seed_walk(graph, graph.nodes.filter("id = 'n5'"), 2)
+    assert {tuple(r) for r in out.collect()} == {("n5", 0), ("n4", 1), ("n6", 1), ("n3", 2), ("n7", 2)}
+    assert len(staged) == 3 and not any("nodes" in broadcast(p) for p in staged)
