@@ -43,7 +43,7 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", t
 
 def pagerank(graph: Graph, types: list[str] | None = None, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """(id, rank): ranks sum to 1; what nodes without outgoing edges hold is spread over all."""
-    edges = stage(graph.typed(types).select("source_id", "target_id").join(graph.nodes.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(graph.nodes.select(F.col("id").alias("target_id")), "target_id", "left_semi"), "links")
+    edges = stage(graph.typed(types).select("source_id", "target_id").join(graph.ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(graph.ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi"), "links")
     out = edges.groupBy("source_id").agg(F.count("*").alias("n"))
     links = stage(edges.join(out, "source_id"), "weighted")
     total = graph.nodes.count()
@@ -51,9 +51,10 @@ def pagerank(graph: Graph, types: list[str] | None = None, rounds: int = 10, dam
         return graph.spark.createDataFrame([], "id string, rank double")
     ranks = Staged(graph.nodes.select("id", F.lit(1.0 / total).alias("rank")), "ranks")
     for _ in range(rounds):
-        given = links.join(ranks.df.withColumnRenamed("id", "source_id"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
-        idle = 1.0 - (links.select("source_id").distinct().join(ranks.df.withColumnRenamed("id", "source_id"), "source_id").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0])
-        new = ranks.df.select("id").join(given, "id", "left").select("id", (F.lit((1 - damping) / total + damping * idle / total) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        held = ranks.df.withColumnRenamed("id", "source_id").hint("merge")  # a row for each node, as graph.ids
+        given = links.join(held, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") / F.col("n")).alias("got"))
+        idle = 1.0 - (links.select("source_id").distinct().join(held, "source_id").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0])
+        new = ranks.df.select("id").join(given.hint("merge"), "id", "left").select("id", (F.lit((1 - damping) / total + damping * idle / total) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         nxt = Staged(new, "ranks")
         ranks.drop()
         ranks = nxt

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from graphlens.operators import sets, telemetry, traverse
+from graphlens.operators import ranking, sets, telemetry, traverse
 from graphlens.session import Staged
 from graphlens.store import Graph
 
@@ -72,3 +72,9 @@ def test_seed_walk(graph, staged):
     out = traverse.seed_walk(graph, graph.nodes.filter("id = 'n5'"), 2)
     assert {tuple(r) for r in out.collect()} == {("n5", 0), ("n4", 1), ("n6", 1), ("n3", 2), ("n7", 2)}
     assert len(staged) == 3 and not any("nodes" in broadcast(p) for p in staged)
+
+
+def test_pagerank(graph, staged):
+    out = ranking.pagerank(graph, ["CALLS"], 2)
+    assert out.count() == 40 and out.agg(F.sum("rank")).first()[0] == pytest.approx(1)
+    assert len(staged) == 5 and not any(re.match("nodes|ranks", x) for p in staged for x in broadcast(p))
