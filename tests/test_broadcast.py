@@ -78,3 +78,10 @@ def test_pagerank(graph, staged):
     out = ranking.pagerank(graph, ["CALLS"], 2)
     assert out.count() == 40 and out.agg(F.sum("rank")).first()[0] == pytest.approx(1)
     assert len(staged) == 5 and not any(re.match("nodes|ranks", x) for p in staged for x in broadcast(p))
+
+
+def test_reachable(graph, staged, monkeypatch):
+    monkeypatch.setattr(traverse, "SMALL", 0)
+    out = traverse.reachable(graph, graph.nodes.filter("id = 'n30'"), ["CALLS"], merge=2)
+    assert sorted(r.id for r in out.collect()) == [f"n{k}" for k in range(31, 40)]
+    assert len(staged) > 9 and not any(re.match("nodes|seen", x) for p in staged for x in broadcast(p))
