@@ -236,9 +236,9 @@ def run(graph: Graph, text: str, max_results: int | None = None) -> Result:
             from graphlens.operators.traverse import reachable
 
             near = stage(reachable(graph, current, types, edge.direction), "closure")
-            ends = near.withColumnRenamed("id", "there").join(wanted, "there")
+            ends = near.withColumnRenamed("id", "there").hint("merge").join(wanted, "there")
             bases = current.unionByName(near).distinct().withColumnRenamed("id", "here")
-            walked = steps.join(bases, "here").join(nodes.select(F.col("id").alias("there")), "there", "left_semi")
+            walked = steps.join(bases.hint("merge"), "here").join(graph.ids.withColumnRenamed("id", "there"), "there", "left_semi")
         else:
             walked = current.withColumnRenamed("id", "here").join(steps, "here").join(wanted, "there")
             ends = walked.select("there", "_order").distinct()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlens.operators import ranking, sets, telemetry, traverse
+from graphlens.plans import pathql
 from graphlens.session import Staged
 from graphlens.store import Graph
 
@@ -85,3 +86,9 @@ def test_reachable(graph, staged, monkeypatch):
     out = traverse.reachable(graph, graph.nodes.filter("id = 'n30'"), ["CALLS"], merge=2)
     assert sorted(r.id for r in out.collect()) == [f"n{k}" for k in range(31, 40)]
     assert len(staged) > 9 and not any(re.match("nodes|seen", x) for p in staged for x in broadcast(p))
+
+
+def test_transitive_path(graph, staged):
+    out = pathql.run(graph, "*[id='n30'] CALLS+ File").edges
+    assert {r.source_id for r in out.collect()} == {f"n{k}" for k in range(30, 39)}
+    assert not any(re.match("nodes|closure|starts", x) for p in [*staged, plan(out)] for x in broadcast(p))
