@@ -92,3 +92,20 @@ def test_transitive_path(graph, staged):
     out = pathql.run(graph, "*[id='n30'] CALLS+ File").edges
     assert {r.source_id for r in out.collect()} == {f"n{k}" for k in range(30, 39)}
     assert not any(re.match("nodes|closure|starts", x) for p in [*staged, plan(out)] for x in broadcast(p))
+
+
+def test_flow(graph):
+    out = traverse.flow(graph, "n3", "n6")
+    assert [r.id for r in out.orderBy("step").collect()] == ["n3", "n4", "n5", "n6"]
+    assert "nodes" not in broadcast(plan(out))
+
+
+def test_large_levels_of_a_flow(graph, staged, spark, monkeypatch):
+    """300 ways of two steps: beyond ``FEW`` a level is not broadcast."""
+    monkeypatch.setattr(traverse, "SMALL", 0)
+    monkeypatch.setattr(traverse, "FEW", 0)
+    ends = [("a", f"m{k}") for k in range(300)] + [(f"m{k}", "z") for k in range(300)]
+    edges = spark.createDataFrame([(*e, "CALLS", k) for k, e in enumerate(ends)], "source_id string, target_id string, type string, seq long")
+    wide = Graph.from_flat(spark.createDataFrame([(x, x, k) for k, x in enumerate(["a", "z"])], "id string, name string, seq long"), edges)
+    assert [r.id for r in traverse.flow(wide, "a", "z").orderBy("step").collect()] == ["a", "z"]
+    assert not any(x.startswith("flow") for x in broadcast(staged[-1]))
